@@ -1,12 +1,14 @@
 """Exact quantiles (linear interpolation), globally or per group, at any size.
 
-Small inputs use Spark's ``percentile``. That aggregate keeps every distinct value of a group in one task, so
-above a size limit the value is located by counting instead:
-
-1. cut the values into equal-count ranges (``ValueBuckets``),
-2. count rows per (group, range) -- combined map-side -- and find the range holding each wanted rank,
-3. look only at the rows of those ranges. A range holds about ``rows / buckets`` rows, or one repeated
-   value, in which case no row is read at all.
+Spark's ``percentile`` keeps every distinct value of a group in one boxed map in one task. Here values are
+counted first (combined map-side) and the wanted ranks are located by running counts:
+
+* small inputs: one window over the distinct values of a group;
+* above a size limit no window may span a group, so
+  1. the values are cut into equal-count ranges (``ValueBuckets``),
+  2. rows are counted per (group, range) and the range holding each wanted rank is found,
+  3. only rows of those ranges are looked at. A range holds about ``rows / buckets`` rows, or one repeated
+     value, in which case no row is read at all.
 """
 
 from __future__ import annotations
@@ -22,46 +24,72 @@ from columnscope.functions.columns import ref
 from columnscope.functions.sizing import fits_in_memory, materialise
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Null-safe equality on all ``names`` (a NULL group is a group)."""
-    return reduce(
-        lambda a, b: a & b,
-        [left["`" + n.replace("`", "``") + "`"].eqNullSafe(right["`" + n.replace("`", "``") + "`"]) for n in names],
-    )
-
-
 def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join keeping one copy of the key columns."""
     renamed = right.select(
         *[ref(n).alias(f"__k{i}") for i, n in enumerate(names)],
         *[ref(c) for c in right.columns if c not in names],
     )
-    condition = reduce(
-        lambda a, b: a & b, [ref(n).eqNullSafe(ref(f"__k{i}")) for i, n in enumerate(names)]
-    )
+    condition = reduce(lambda a, b: a & b, [ref(n).eqNullSafe(ref(f"__k{i}")) for i, n in enumerate(names)])
     return left.join(renamed, condition, how).drop(*[f"__k{i}" for i in range(len(names))])
 
 
-def grouped_quantiles(
-    df: DataFrame, keys: list[str], columns: list[str], probs: list[float]
-) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
     """One row per group: the keys and, per column, an array of quantiles (NULL for a group without values).
 
     ``columns`` must be double columns with NULL for missing values.
     """
     slim = df.select(*[ref(k) for k in keys], *[ref(c) for c in columns])
-    if fits_in_memory(slim):
-        values = [F.percentile(ref(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
-        return slim.groupBy(*[ref(k) for k in keys]).agg(*values)
-    return _counted_quantiles(slim, keys, columns, probs)
+    locate = _by_window if fits_in_memory(slim) else _by_ranges
+    result = _interpolated(locate(slim, keys, columns, probs), keys, columns)
+    if not keys:
+        return result
+    # Groups whose values are all missing are still groups.
+    return join_same(slim.select(*[ref(k) for k in keys]).distinct(), result, keys, "left")
 
 
-def _counted_quantiles(
-    df: DataFrame, keys: list[str], columns: list[str], probs: list[float]
-) -> DataFrame:
+def _holding_wanted(counted: DataFrame, probs: list[float]) -> DataFrame:
+    """Rows (value or range with ``__before``, ``__n``, ``__total``) that hold a wanted rank, one per rank.
+
+    ``__r`` is (probability, zero-based rank, weight of that order statistic in the quantile).
+    """
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__n"))
+
+    some, structs = None, []
+    for i, p in enumerate(probs):
+        position = F.lit(float(p)) * (F.col("__total") - 1)
+        low, high = F.floor(position), F.ceil(position)
+        for rank, weight in ((low, high - position), (high, position - low)):
+            some = holds(rank) if some is None else some | holds(rank)
+            structs.append(F.struct(F.lit(i).alias("i"), rank.alias("rank"), weight.alias("weight")))
+    return (
+        counted.where(some)
+        .select("*", F.explode(F.array(*structs)).alias("__r"))
+        .where(holds(F.col("__r.rank")))
+    )
+
+
+def _by_window(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
+    key_cols = [ref(k) for k in keys]
+    cells = [F.struct(F.lit(i).alias("__pos"), ref(c).alias("__value")) for i, c in enumerate(columns)]
+    long = df.select(*key_cols, F.inline(F.array(*cells))).where("__value is not null")
+    counts = long.groupBy(*key_cols, "__pos", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(*key_cols, "__pos")
+    upto = group.orderBy("__value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counts.select(
+        "*",
+        (F.sum("__n").over(upto) - F.col("__n")).alias("__before"),
+        F.sum("__n").over(group).alias("__total"),
+    )
+    return _holding_wanted(placed, probs).select(*key_cols, "__pos", "__r", "__value")
+
+
+def _by_ranges(df: DataFrame, keys: list[str], columns: list[str], probs: list[float]) -> DataFrame:
+    key_cols = [ref(k) for k in keys]
     buckets = ValueBuckets.fit(df, columns)
-    tagged = buckets.assign(df)
-    stacked = [
+    cells = [
         F.struct(
             F.lit(i).alias("__pos"),
             ref(c).alias("__value"),
@@ -70,76 +98,61 @@ def _counted_quantiles(
         )
         for i, c in enumerate(columns)
     ]
-    long = tagged.select(*[ref(k) for k in keys], F.inline(F.array(*stacked))).where("__value is not null")
-    key_cols = [ref(k) for k in keys]
+    long = buckets.assign(df).select(*key_cols, F.inline(F.array(*cells))).where("__value is not null")
 
-    cells = long.groupBy(*key_cols, "__pos", "__range", "__single").agg(
+    ranges = long.groupBy(*key_cols, "__pos", "__range", "__single").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__value").alias("__value")
     )
-    per_group = W.partitionBy(*key_cols, "__pos")
-    upto = per_group.orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = cells.select(
+    group = W.partitionBy(*key_cols, "__pos")
+    upto = group.orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = ranges.select(
         "*",
         (F.sum("__n").over(upto) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(per_group).alias("__total"),
-    )
-    ranks = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("__total") - 1)
-        ranks += [
-            F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), F.floor(position).alias("rank")),
-            F.struct(F.lit(i).alias("i"), F.lit(1).alias("side"), F.ceil(position).alias("rank")),
-        ]
-    wanted = materialise(
-        placed.select("*", F.explode(F.array(*ranks)).alias("__r"))
-        .where((F.col("__r.rank") >= F.col("__before")) & (F.col("__r.rank") < F.col("__before") + F.col("__n")))
+        F.sum("__n").over(group).alias("__total"),
     )
-    cell = [*keys, "__pos", "__range"]
-    found_single = wanted.where("__single").select(*key_cols, "__pos", "__r", "__value", "__total")
+    wanted = materialise(_holding_wanted(placed, probs))
+    in_single = wanted.where("__single").select(*key_cols, "__pos", "__r", "__value")
 
-    # At most two ranks per probability and cell, so these arrays stay tiny.
-    open_cells = (
+    # A range is wanted by at most two ranks per probability, so these arrays stay tiny.
+    cell = [*keys, "__pos", "__range"]
+    cell_cols = [ref(c) for c in cell]
+    open_ranges = (
         wanted.where("not __single")
-        .groupBy(*[ref(c) for c in cell])
-        .agg(F.collect_list("__r").alias("__rs"), F.first("__before").alias("__before"), F.first("__total").alias("__total"))
+        .groupBy(*cell_cols)
+        .agg(
+            F.collect_list("__r").alias("__rs"),
+            F.first("__before").alias("__start"),
+        )
     )
     counted = (
-        join_same(long.drop("__single"), open_cells, cell)
-        .groupBy(*[ref(c) for c in cell], "__value")
+        join_same(long.drop("__single"), open_ranges, cell)
+        .groupBy(*cell_cols, "__value")
         .agg(
             F.count(F.lit(1)).alias("__n"),
             F.first("__rs").alias("__rs"),
-            F.first("__before").alias("__before"),
-            F.first("__total").alias("__total"),
+            F.first("__start").alias("__start"),
         )
     )
-    in_cell = W.partitionBy(*[ref(c) for c in cell]).orderBy("__value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found_open = (
-        counted.withColumn("__before", F.col("__before") + F.sum("__n").over(in_cell) - F.col("__n"))
+    within = W.partitionBy(*cell_cols).orderBy("__value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    in_open = (
+        counted.withColumn("__before", F.col("__start") + F.sum("__n").over(within) - F.col("__n"))
         .select("*", F.explode("__rs").alias("__r"))
-        .where((F.col("__r.rank") >= F.col("__before")) & (F.col("__r.rank") < F.col("__before") + F.col("__n")))
-        .select(*key_cols, "__pos", "__r", "__value", "__total")
+        .where("__r.rank >= __before and __r.rank < __before + __n")
+        .select(*key_cols, "__pos", "__r", "__value")
     )
-    found = found_single.unionByName(found_open)
+    return in_single.unionByName(in_open)
 
-    def pick(pos: int, i: int, side: int) -> Column:
-        hit = (F.col("__pos") == pos) & (F.col("__r.i") == i) & (F.col("__r.side") == side)
-        return F.max(F.when(hit, F.col("__value")))
 
+def _interpolated(found: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    key_cols = [ref(k) for k in keys]
+    blend = F.sum(F.col("__r.weight") * F.col("__value"))
+    # The grouping refines the window's partitioning, so it needs no shuffle of its own.
+    each = found.groupBy(*key_cols, "__pos", F.col("__r.i").alias("__i")).agg(
+        F.when(F.min("__value") == F.max("__value"), F.min("__value")).otherwise(blend).alias("__q")
+    )
     outputs = []
     for pos, column in enumerate(columns):
-        total = F.max(F.when(F.col("__pos") == pos, F.col("__total")))
-        values = []
-        for i, p in enumerate(probs):
-            position = F.lit(float(p)) * (total - 1)
-            low, high = pick(pos, i, 0), pick(pos, i, 1)
-            exact = F.floor(position) == F.ceil(position)
-            blend = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
-            values.append(F.when(exact | (low == high), low).otherwise(blend))
-        outputs.append(F.when(total.isNotNull(), F.array(*values)).alias(column))
-    result = found.groupBy(*key_cols).agg(*outputs)
-    if not keys:
-        return result
-    # Groups whose values are all missing are still groups.
-    every = df.select(*key_cols).distinct()
-    return join_same(every, result, keys, "left")
+        mine = F.array_sort(F.collect_list(F.when(F.col("__pos") == pos, F.struct("__i", "__q"))))
+        values = F.transform(mine, lambda x: x["__q"])
+        outputs.append(F.when(F.size(values) > 0, values).alias(column))
+    return each.groupBy(*key_cols).agg(*outputs)

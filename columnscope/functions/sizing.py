@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 # Inputs up to this size may keep the distinct values of one group in one task (Spark's own percentile).
@@ -20,7 +23,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimised plan, None where no classic session is behind it."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        return int(str(stats.sizeInBytes()))
     except AttributeError:
         return None
 
@@ -50,3 +53,21 @@ def materialise(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="columnscope-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def shared_scan(df: DataFrame) -> Iterator[DataFrame]:
+    """Input of an operator that reads its table several times and finishes its jobs before it returns.
+
+    A small table is spread over all cores and kept in memory meanwhile (small files often arrive as one
+    split); a large one is scanned again each time, with only the columns each pass needs.
+    """
+    if not fits_in_memory(df) or df.storageLevel.useMemory:
+        yield df
+        return
+    kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    kept.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()

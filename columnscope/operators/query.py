@@ -35,7 +35,6 @@ from columnscope.functions.columns import (
 )
 from columnscope.functions.quantiles import grouped_quantiles, join_same
 from columnscope.functions.scalar import contains_ignore_case
-from columnscope.functions.sizing import fits_in_memory
 
 # The names accepted in requests and the row limits.
 AGGREGATIONS = ("sum", "mean", "median", "count", "min", "max", "std")
@@ -232,7 +231,7 @@ def check_metric(df: DataFrame, metric: Mapping[str, Any]) -> None:
 
 
 def metric_column(df: DataFrame, agg: str, column: str | None) -> Column:
-    """Aggregate expression for everything but the large-input median."""
+    """Aggregate expression of every metric but the median."""
     if agg == "count":
         return F.count(F.lit(1)) if column is None else F.count(present(df, column))
     value = present(df, column)
@@ -246,8 +245,6 @@ def metric_column(df: DataFrame, agg: str, column: str | None) -> Column:
         return F.avg(value)
     if agg == "std":
         return F.stddev_samp(value)
-    if agg == "median":
-        return F.median(value.cast("double"))
     return F.min(value) if agg == "min" else F.max(value)
 
 
@@ -268,14 +265,12 @@ def aggregate(
 
     keys = [present(df, k).alias(k) for k in group_by]
     medians = [m for m in metrics if m["aggregation"] == "median"]
-    counted = bool(medians) and not fits_in_memory(df.select(*keys, *[ref(m["column"]) for m in medians]))
-    direct = [m for m in metrics if not (counted and m["aggregation"] == "median")]
+    direct = [m for m in metrics if m["aggregation"] != "median"]
     columns = [metric_column(df, m["aggregation"], m.get("column")).alias(metric_alias(m)) for m in direct]
-    if not counted:
-        grouped = df.groupBy(*keys).agg(*columns) if group_by else df.agg(*columns)
-        return grouped.select(*[ref(n) for n in names])
+    if not medians:
+        return df.groupBy(*keys).agg(*columns) if group_by else df.agg(*columns)
 
-    # Large input: medians are located by counting, then joined to the other metrics on the keys.
+    # Medians are located by counting (no group is gathered in one task) and joined to the other metrics.
     sources = sorted({m["column"] for m in medians})
     numbers = [as_number(df, c).alias(f"__m{i}") for i, c in enumerate(sources)]
     located = grouped_quantiles(
@@ -284,14 +279,11 @@ def aggregate(
         *[ref(k) for k in group_by],
         *[F.get(ref(f"__m{sources.index(m['column'])}"), F.lit(0)).alias(metric_alias(m)) for m in medians],
     )
-    if not direct:
-        return located.select(*[ref(n) for n in names])
-    if group_by:
-        return join_same(df.groupBy(*keys).agg(*columns), located, list(group_by), "left").select(
-            *[ref(n) for n in names]
-        )
-    # Two one-row frames.
-    return df.agg(*columns).join(located.limit(1), F.lit(True), "left").select(*[ref(n) for n in names])
+    if direct and group_by:
+        located = join_same(df.groupBy(*keys).agg(*columns), located, list(group_by), "left")
+    elif direct:
+        located = df.agg(*columns).join(located, F.lit(True), "left")  # one row each
+    return located.select(*[ref(n) for n in names])
 
 
 # ---------------------------------------------------------------- ordering, limits
