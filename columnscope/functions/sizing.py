@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Inputs up to this size may keep the distinct values of one group in one task (Spark's own percentile).
 EXACT_IN_MEMORY_CONF = "spark.columnscope.exactInMemoryBytes"
@@ -43,15 +43,18 @@ def bucket_target(df: DataFrame) -> int:
     return max(MIN_BUCKETS, min(MAX_BUCKETS, max(cores, math.ceil(size / BYTES_PER_BUCKET))))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is set only where there is none.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or a temporary one only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="columnscope-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
