@@ -115,7 +115,7 @@ def _restore(df: DataFrame, name: str, values: list[tuple[str, int]]) -> list[tu
         .collect()
     )
     texts = {r["digest"]: r["t"] for r in rows}
-    return [(texts.get(v, v), n) for v, n in values]
+    return sorted(((texts.get(v, v), n) for v, n in values), key=lambda p: (-p[1], p[0]))
 
 
 def row_key(df: DataFrame) -> list[Column]:

@@ -60,30 +60,39 @@ def _indexed(series: DataFrame) -> DataFrame:
     )
 
 
-def _smoothing_level(points: str) -> str:
-    """SQL: the level simple exponential smoothing ends at, as a function of the ordered values ``points``.
-
-    For a given ``alpha`` the level after t values is ``a + b * start`` and every one-step error is linear in
-    ``start``; the fold carries (a, b, sum ab, sum bb, sum aa) so the best start and its squared error follow
-    in closed form. ``alpha`` is searched on a grid and refined once around the best grid value.
-    """
-    fold = (
-        "aggregate({ys}, named_struct('a', 0d, 'b', 1d, 'ab', 0d, 'bb', 0d, 'aa', 0d), (s, y) -> named_struct("
-        "'a', {alpha} * y + (1 - {alpha}) * s.a, 'b', (1 - {alpha}) * s.b, "
-        "'ab', s.ab + s.b * (y - s.a), 'bb', s.bb + s.b * s.b, 'aa', s.aa + (y - s.a) * (y - s.a)))"
+# The level simple exponential smoothing ends at. For a given alpha the level after t values is
+# ``a + b * start`` and every one-step error is linear in ``start``, so the fold over the ordered values carries
+# (a, b, sum ab, sum bb, sum aa) and the best start and its squared error follow in closed form.
+_SMOOTHING_FOLD = (
+    "aggregate(ys, named_struct('a', 0d, 'b', 1d, 'ab', 0d, 'bb', 0d, 'aa', 0d), (s, y) -> named_struct("
+    "'a', alpha * y + (1 - alpha) * s.a, 'b', (1 - alpha) * s.b, 'ab', s.ab + s.b * (y - s.a), "
+    "'bb', s.bb + s.b * s.b, 'aa', s.aa + (y - s.a) * (y - s.a)))"
+)
+
+
+def _best_smoothing(candidates: DataFrame) -> DataFrame:
+    """One row: the (sse, alpha, level) with the smallest squared error among rows of ``n, ys, alpha``."""
+    fitted = candidates.select("n", "ys", "alpha", F.expr(_SMOOTHING_FOLD).alias("s"))
+    found = F.expr("struct(s.aa - s.ab * s.ab / s.bb as sse, alpha, s.a + s.b * s.ab / s.bb as level)")
+    return fitted.groupBy("n", "ys").agg(F.min(found).alias("best"))
+
+
+def _smoothing(train: DataFrame) -> DataFrame:
+    """Alpha from a grid of a thousand, then refined around the best one."""
+    ordered = train.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.expr("transform(array_sort(collect_list(struct(idx, value))), p -> p.value)").alias("ys"),
     )
-    fit = (
-        "transform({alphas}, x -> transform(array({fold}), s -> named_struct("
-        "'sse', s.aa - s.ab * s.ab / s.bb, 'alpha', x, 'level', s.a + s.b * s.ab / s.bb))[0])"
+    coarse = _best_smoothing(
+        ordered.selectExpr("n", "ys", f"explode(sequence(0, {_ALPHA_STEPS})) as k")
+        .selectExpr("n", "ys", f"k / {_ALPHA_STEPS}d as alpha")
     )
-    coarse = f"transform(sequence(0, {_ALPHA_STEPS}), k -> k / {_ALPHA_STEPS}d)"
-    best = "array_min(" + fit.format(alphas=coarse, fold=fold.format(ys=points, alpha="x")) + ")"
-    step = 1 / _ALPHA_STEPS
-    fine = (
-        f"filter(transform(sequence(-100, 100), k -> {best}.alpha + k * {step / 100}d), "
-        "x -> x >= 0 and x <= 1)"
+    fine = _best_smoothing(
+        coarse.selectExpr("n", "ys", "best.alpha as near", "explode(sequence(-100, 100)) as k")
+        .selectExpr("n", "ys", f"near + k / {_ALPHA_STEPS * 100}d as alpha")
+        .where("alpha between 0 and 1")
     )
-    return fine, fit.format(alphas="fine", fold=fold.format(ys=points, alpha="x"))
+    return fine.selectExpr("n", "0d as slope", "best.level as level")
 
 
 def _model(train: DataFrame, method: str) -> DataFrame:
@@ -98,12 +107,7 @@ def _model(train: DataFrame, method: str) -> DataFrame:
         return train.agg(
             n, F.regr_slope("value", "idx").alias("slope"), F.regr_intercept("value", "idx").alias("level")
         )
-    ordered = train.agg(n, F.expr("transform(array_sort(collect_list(struct(idx, value))), p -> p.value)").alias("ys"))
-    fine, fit = _smoothing_level("ys")
-    return (
-        ordered.select("n", "ys", F.expr(fine).alias("fine"))
-        .select("n", F.lit(0.0).alias("slope"), F.expr(f"array_min({fit}).level").alias("level"))
-    )
+    return _smoothing(train)
 
 
 def _checked(method: str) -> None:

@@ -12,16 +12,16 @@ def _stretched(spark, folder):
     """Events spread over eight times their span, so that they fall into weekly buckets."""
     origin = "unix_micros(timestamp'2024-01-01 00:00:00')"
     return table(spark, folder, "events").selectExpr(
-        f"timestamp_micros(unix_micros(cast(ts as timestamp)) * 8 - 7 * {origin}) as at", "value"
+        f"timestamp_micros(unix_micros(cast(ts as timestamp)) * 8 - 7 * {origin}) as moment", "value"
     )
 
 
 STRETCHED = (
-    "(SELECT make_timestamp(epoch_us(ts) * 8 - 7 * epoch_us(TIMESTAMP '2024-01-01')) AS at, value FROM events)"
+    "(SELECT make_timestamp(epoch_us(ts) * 8 - 7 * epoch_us(TIMESTAMP '2024-01-01')) AS moment, value FROM events)"
 )
 DAY = "strftime({}, '%Y-%m-%d')"
 MONTHLY = "SELECT date_trunc('month', o_orderdate) AS b, sum(o_totalprice) AS v FROM orders GROUP BY 1"
-WEEKLY = f"SELECT date_trunc('week', at) AS b, avg(value) AS v FROM {STRETCHED} t GROUP BY 1"
+WEEKLY = f"SELECT date_trunc('week', moment) AS b, avg(value) AS v FROM {STRETCHED} t GROUP BY 1"
 INDEXED = "SELECT b, v, row_number() OVER (ORDER BY b) - 1 AS i, count(*) OVER () AS n FROM s"
 
 
@@ -46,14 +46,14 @@ LINEAR = "SELECT regr_intercept(v, i) + regr_slope(v, i) * (max(n) - 1 + k) FROM
 ENTRIES = {
     "granularity": (
         lambda spark, folder: spark.createDataFrame(
-            [(granularity(table(spark, folder, "events"), "ts"), granularity(_stretched(spark, folder), "at"),
+            [(granularity(table(spark, folder, "events"), "ts"), granularity(_stretched(spark, folder), "moment"),
               granularity(table(spark, folder, "orders"), "o_orderdate"))],
             "events string, stretched string, orders string",
         ),
         "SELECT " + ", ".join(
             f"(SELECT CASE WHEN d <= 60 THEN 'D' WHEN d <= 730 THEN 'W' ELSE 'M' END FROM (SELECT "
             f"floor(date_diff('second', min({c}), max({c})) / 86400) AS d FROM {t} t)) AS {n}"
-            for n, t, c in (("events", "events", "ts"), ("stretched", STRETCHED, "at"), ("orders", "orders", "o_orderdate"))
+            for n, t, c in (("events", "events", "ts"), ("stretched", STRETCHED, "moment"), ("orders", "orders", "o_orderdate"))
         ),
     ),
     "bucket_day": (
@@ -61,7 +61,7 @@ ENTRIES = {
         f"SELECT {DAY.format('ts')} AS bucket, round(sum(value), 3) AS value FROM events GROUP BY 1",
     ),
     "bucket_week": (
-        lambda spark, folder: rounded(dated(bucketed_series(_stretched(spark, folder), "at", "value", "mean"), "bucket"), 3),
+        lambda spark, folder: rounded(dated(bucketed_series(_stretched(spark, folder), "moment", "value", "mean"), "bucket"), 3),
         f"SELECT {DAY.format('b')} AS bucket, round(v, 3) AS value FROM ({WEEKLY})",
     ),
     "bucket_month_median": (
@@ -87,7 +87,7 @@ ENTRIES = {
     "forecast_linear": (_forecast("linear"), _forecast_sql(LINEAR)),
     "forecast_weekly": (
         lambda spark, folder: rounded(dated(
-            forecast(_stretched(spark, folder), "at", "value", method="linear", aggregation="mean"), "date"
+            forecast(_stretched(spark, folder), "moment", "value", method="linear", aggregation="mean"), "date"
         ), 1),
         _forecast_sql(LINEAR, WEEKLY, "b + to_days(CAST(6 + 7 * k AS INTEGER))"),
     ),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -27,13 +29,18 @@ def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def _plain_path(uri: str) -> str:
+    """A listed file's URI in the spelling of the ``path`` column."""
+    return re.sub(r"^file:/+", "file:/", unquote(uri))
+
+
 def check_files(
     spark: SparkSession, path: str, extensions: tuple[str, ...] = DEFAULT_EXTENSIONS, max_bytes: int | None = MAX_BYTES
 ) -> DataFrame:
     """``path, length, extension, accepted, reason`` from file metadata alone (no content is read)."""
     listed = spark.read.format("binaryFile").load(path)
     # Empty files are listed but yield no row.
-    names = spark.createDataFrame([(f,) for f in listed.inputFiles()], "path string")
+    names = spark.createDataFrame([(_plain_path(f),) for f in listed.inputFiles()], "path string")
     files = names.join(listed.select("path", "length"), "path", "left").fillna(0, "length")
     extension = _extension(F.col("path"))
     shown = F.when(extension == "", F.lit("(none)")).otherwise(extension)
