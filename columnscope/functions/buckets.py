@@ -33,10 +33,11 @@ class ValueBuckets:
     def fit(df: DataFrame, columns: list[str], target: int | None = None) -> ValueBuckets:
         """``columns`` must be double columns with NULL (not NaN) for missing values."""
         count = target or bucket_target(df)
-        probs = [i / count for i in range(1, count)]
+        probs = f"array({', '.join(f'{i / count!r}d' for i in range(1, count))})"
         accuracy = max(10_000, 20 * count)
-        row = df.agg(
-            *[F.percentile_approx(ref(c), probs, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]
+        numbers = df.select(*[ref(c).alias(f"c{i}") for i, c in enumerate(columns)])
+        row = numbers.agg(
+            *[F.expr(f"percentile_approx({c}, {probs}, {accuracy})").alias(c) for c in numbers.columns]
         ).first()
         splits = {}
         for i, column in enumerate(columns):
@@ -70,4 +71,9 @@ class ValueBuckets:
         return [i for i in range(1, len(cuts) - 2) if cuts[i + 1] == math.nextafter(cuts[i], math.inf)]
 
     def is_single(self, column: str) -> Column:
-        return ref(bucket_name(column)).isin(self.single_ids(column))
+        """Ranges nearly always alternate (open, one value, open, ...): then the odd ones hold one value."""
+        ids = self.single_ids(column)
+        cuts = len(self.splits[column])
+        if ids == list(range(1, cuts - 2, 2)):
+            return ref(bucket_name(column)) % 2 == 1
+        return ref(bucket_name(column)).isin(ids)

@@ -16,7 +16,7 @@ EXACT_IN_MEMORY_DEFAULT = 128 * 1024 * 1024
 
 BYTES_PER_BUCKET = 64 * 1024 * 1024
 MIN_BUCKETS = 8
-MAX_BUCKETS = 512
+MAX_BUCKETS = 16_384
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -74,3 +74,21 @@ def shared_scan(df: DataFrame) -> Iterator[DataFrame]:
         yield kept
     finally:
         kept.unpersist()
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """A derived table that several jobs read: computed once, in memory if small, else in the checkpoint folder."""
+    if not fits_in_memory(df):
+        yield materialise(df)
+        return
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores before costly per-row work; a large table has splits enough of its own."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if fits_in_memory(df) else df

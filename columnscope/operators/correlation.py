@@ -5,12 +5,14 @@ No plan here has a step whose group grows without bound:
 * Pearson is one aggregation over (pair, a, b) rows.
 * Spearman ranks each column inside equal-count value ranges and adds the rows in lower ranges; a value that
   fills a whole range gets its rank from the range counts alone.
-* Kendall splits "both larger" pairs of rows into three disjoint kinds -- same range of ``a``, same range of
-  ``b`` but different range of ``a``, different ranges of both -- and counts each kind per range.
+* Kendall splits "both larger" pairs of rows by whether they share fine and coarse ranges of either column;
+  every kind is counted in groups of one fine range of rows, or of a bounded grid of range counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 from columnscope.errors import ValidationError
 from columnscope.functions.buckets import ValueBuckets, bucket_name
 from columnscope.functions.columns import as_number, ref, require_numeric
-from columnscope.functions.sizing import materialise, shared_scan
+from columnscope.functions.sizing import bucket_target, materialise, shared_scan
 
 METHODS = ("pearson", "spearman", "kendall")
 STRONG = 0.7
 _SALTS = 64
+_FINE_PER_COARSE = 128
+_MAX_RANK_RANGES = 2048
 
 
 def correlation_columns(df: DataFrame, columns: list[str] | None) -> list[str]:
@@ -76,7 +80,8 @@ def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
     width = len(names)
     columns = [f"c{i}" for i in range(width)]
     joint = _joint_counts(df, names)
-    buckets = ValueBuckets.fit(_numbers(df, names), columns)
+    numbers = _numbers(df, names)
+    buckets = ValueBuckets.fit(numbers, columns, min(_MAX_RANK_RANGES, bucket_target(numbers)))
     tagged = buckets.assign(joint)
 
     # A column is ranked once over all rows, and once more per partner column that has missing values.
@@ -167,6 +172,20 @@ def _count_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": pdf["i"].iloc[:1], "j": pdf["j"].iloc[:1], "concordant": [found]})
 
 
+# The seven disjoint kinds of row pairs. ``xc``/``yc`` are coarse ranges, ``xr``/``yr`` fine ones (parts of coarse
+# ones), ``x``/``y`` values. Pairs of a kind share the key and differ in both coordinates; rows are first summed
+# per coordinate pair, and rows whose key is a one-value range are left out, as they cannot differ in it.
+_KINDS = (
+    ("0", "0", "xc", "yc", "true"),
+    ("yc", "0", "xc", "yr", "true"),
+    ("yr", "0", "xc", "y", "not ys"),
+    ("xc", "0", "xr", "yc", "true"),
+    ("xc", "yc", "xr", "yr", "true"),
+    ("xc", "yr", "xr", "y", "not ys"),
+    ("xr", "0", "x", "y", "not xs"),
+)
+
+
 def _kendall(df: DataFrame, names: list[str]) -> DataFrame:
     columns = [f"c{i}" for i in range(len(names))]
     buckets = ValueBuckets.fit(_numbers(df, names), columns)
@@ -180,15 +199,17 @@ def _kendall(df: DataFrame, names: list[str]) -> DataFrame:
         .groupBy("i", "j", "x", "y", "xr", "yr", "xs", "ys")
         .agg(F.sum("w0").alias("w"))
     )
-    same_x = points.where("not xs").selectExpr("i", "j", "'x' as kind", "xr as part", "x", "y", "w")
-    same_y = points.where("not ys").selectExpr("i", "j", "'y' as kind", "yr as part", "cast(xr as double) as x", "y", "w")
-    grid = (
-        points.groupBy("i", "j", "xr", "yr").agg(F.sum("w").alias("w"))
-        .selectExpr("i", "j", "'grid' as kind", "0 as part", "cast(xr as double) as x", "cast(yr as double) as y", "w")
-    )
+    placed = points.selectExpr("*", f"xr div {_FINE_PER_COARSE} as xc", f"yr div {_FINE_PER_COARSE} as yc")
+    parts = []
+    for kind, (key, second, a, b, keep) in enumerate(_KINDS):
+        view = placed.where(keep).selectExpr(
+            "i", "j", f"{kind} as kind", f"cast({key} as int) as part", f"cast({second} as int) as part2",
+            f"cast({a} as double) as x", f"cast({b} as double) as y", "w",
+        )
+        parts.append(view.groupBy("i", "j", "kind", "part", "part2", "x", "y").agg(F.sum("w").alias("w")))
     concordant = (
-        same_x.unionByName(same_y).unionByName(grid)
-        .groupBy("i", "j", "kind", "part")
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("i", "j", "kind", "part", "part2")
         .applyInPandas(_count_group, "i int, j int, concordant double")
         .groupBy("i", "j").agg(F.sum("concordant").alias("concordant"))
     )

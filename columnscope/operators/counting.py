@@ -25,6 +25,7 @@ from columnscope.functions.columns import (
     type_of,
     user_columns,
 )
+from columnscope.functions.sizing import kept
 
 DIGEST_CHARS = 64
 
@@ -72,25 +73,26 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def distinct_and_top(df: DataFrame, columns: list[str], k: int) -> tuple[dict[str, int], dict[str, list]]:
     """Exact distinct count of every column, and the ``k`` most frequent values of the text columns.
 
-    Both come from one query over one shuffled count table. The top-k window carries a rank limit, which
-    Spark applies inside each task before the second shuffle.
+    The count table is computed once and read twice. The top-k window carries a rank limit, which Spark applies
+    inside each task before its shuffle.
     """
     if not columns:
         return {}, {}
-    counts = value_counts(df, columns)
     none = F.lit(None)
-    distinct = counts.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).select(
-        "pos", "n", none.cast("string").alias("s"), none.cast("int").alias("rank")
-    )
     order = W.partitionBy("pos").orderBy(F.col("n").desc(), F.col("s").asc())
-    top = (
-        counts.where("s is not null")
-        .select("pos", "n", "s", F.row_number().over(order).alias("rank"))
-        .where(F.col("rank") <= k)
-    )
+    with kept(value_counts(df, columns)) as counts:
+        distinct = counts.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).select(
+            "pos", "n", none.cast("string").alias("s"), none.cast("int").alias("rank")
+        )
+        top = (
+            counts.where("s is not null")
+            .select("pos", "n", "s", F.row_number().over(order).alias("rank"))
+            .where(F.col("rank") <= k)
+        )
+        found = distinct.unionByName(top).orderBy("pos", "rank").collect()  # at most k + 1 rows per column
     uniques = dict.fromkeys(columns, 0)
     best: dict[str, list] = {c: [] for c in columns}
-    for row in distinct.unionByName(top).orderBy("pos", "rank").collect():  # <= (k + 1) rows per column
+    for row in found:
         name = columns[row["pos"]]
         if row["rank"] is None:
             uniques[name] = row["n"]

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnscope.errors import ValidationError
-from columnscope.functions.columns import as_number, ref, type_of
+from columnscope.functions.columns import as_number, ref
 from columnscope.functions.quantiles import grouped_quantiles
-from columnscope.functions.sizing import materialise
+from columnscope.functions.sizing import materialise, spread
 from columnscope.operators.learning.clustering import numeric_features
 from columnscope.operators.learning.prepare import MIN_ROWS
 from columnscope.operators.learning.result import Trained
@@ -94,7 +94,7 @@ def fit_forest(rows: DataFrame, total: int, seed: int) -> pd.DataFrame:
     return per_tree.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
 
 
-def _scorer(forest: pd.DataFrame, columns: list[str], normal: float):
+def _scorer(forest: pd.DataFrame, normal: float):
     trees = [
         {c: t[c].to_numpy() for c in ("feature", "cut", "lower", "upper", "depth")}
         for _, t in forest.sort_values(["tree", "node"]).groupby("tree")
@@ -129,14 +129,15 @@ def detect_anomalies(df: DataFrame, features: list[str], contamination: float =
         raise ValidationError(f"Not enough rows to run: {total} found, at least {MIN_ROWS} required.")
     forest = fit_forest(rows, total, seed)
     normal = mean_depth(min(SAMPLE, total)) or 1.0
-    score = _scorer(forest, features, normal)
+    score = _scorer(forest, normal)
 
     numbers = [as_number(df, f) for f in features]
     complete = df
     for number in numbers:
         complete = complete.where(number.isNotNull())
     scored = complete.withColumn("anomaly_score", score(*numbers))
-    scores = materialise(scored.select("anomaly_score"))  # eight bytes a row, so Python scores each row once here
+    # Eight bytes a row: Python scores each row once here, whatever is computed from the scores.
+    scores = materialise(spread(rows).select(score(*rows.columns).alias("anomaly_score")))
     limit = grouped_quantiles(scores, [], ["anomaly_score"], [contamination]).first()["anomaly_score"][0]
     found = scores.where(F.col("anomaly_score") < limit).count()
     worst = scored.where(F.col("anomaly_score") < limit).orderBy("anomaly_score", *row_order(df)).limit(SAMPLE_ROWS)

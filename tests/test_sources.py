@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from columnscope.errors import UnsupportedFileError, ValidationError
-from columnscope.operators.query import run_query
+from columnscope.operators.query import preview, run_query
 from columnscope.operators.report import recommendation_list, report
 from columnscope.operators.profile import profile
 from columnscope.sources.files import check_files, detect_delimiter, ingest, read_table
@@ -44,7 +44,12 @@ def test_row_numbers_follow_the_file(spark, tmp_path):
         got = ingest(spark, str(tmp_path / "big.csv"), str(tmp_path / "out"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert read_table(spark, got.path).where("n <> _row_id").count() == 0
+    stored = read_table(spark, got.path)
+    assert stored.where("n <> _row_id").count() == 0
+    # A page is a row-number range that reaches the Parquet reader.
+    page = preview(stored, page=301, page_size=50)
+    assert [r["n"] for r in page.collect()] == list(range(15000, 15050))
+    assert "GreaterThanOrEqual(_row_id,15000)" in page._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("text, delimiter", [("a,b\n1,2", ","), ("a\tb\n1\t2", "\t"), ("a;b;c", ";"), ("a|b", "|"), ("a", ",")])

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import columnscope.functions.buckets as buckets_module
+import columnscope.operators.correlation as correlation_module
 from columnscope.errors import ValidationError
 from columnscope.operators.correlation import count_concordant, correlation, pair_coefficients, strong_pairs
 from columnscope.operators.outliers import flag_outliers, outlier_rows, outlier_summary
@@ -44,6 +46,19 @@ def test_against_brute_force(spark, tied, method):
             assert r == pytest.approx(want, abs=1e-9)
 
 
+def test_kendall_with_several_levels_of_ranges(spark, monkeypatch):
+    """Enough ranges that every kind of row pair occurs."""
+    monkeypatch.setattr(correlation_module, "_FINE_PER_COARSE", 4)
+    monkeypatch.setattr(buckets_module, "bucket_target", lambda df: 40)
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"a": rng.normal(size=900).round(2), "b": rng.integers(0, 200, 900).astype(float)})
+    pdf["c"] = pdf["a"] + rng.normal(size=900) * 0.2
+    pdf.loc[:250, "a"] = 0.5
+    got = pair_coefficients(spark.createDataFrame(pdf), ["a", "b", "c"], "kendall")
+    for (i, j), r in got.items():
+        assert r == pytest.approx(tau_b(pdf.iloc[:, i].to_numpy(), pdf.iloc[:, j].to_numpy()), abs=1e-9)
+
+
 def test_concordant_kernel():
     rng = np.random.default_rng(5)
     x, y, w = rng.integers(0, 9, 60), rng.integers(0, 9, 60), rng.integers(1, 4, 60)
