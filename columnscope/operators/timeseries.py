@@ -115,15 +115,23 @@ def _checked(method: str) -> None:
         raise ValidationError(f"Unsupported forecasting method: {method!r}. Choose from {sorted(METHODS)}.")
 
 
-def fit_and_extend(series: DataFrame, method: str, unit: str, periods: int) -> DataFrame:
-    """``date, value`` of the next ``periods`` buckets of a ``bucket, value`` series."""
+def fit_and_extend(
+    series: DataFrame, method: str, unit: str, periods: int, weekly_anchor: str = "sunday"
+) -> DataFrame:
+    """``date, value`` of the next ``periods`` buckets of a ``bucket, value`` series.
+
+    Weekly dates fall on Sundays, the first one 13 days after the last Monday bucket, as users of the reference
+    know them; ``weekly_anchor="monday"`` gives the Mondays that follow the last bucket.
+    """
     _checked(method)
+    if weekly_anchor not in ("sunday", "monday"):
+        raise ValidationError(f"Unsupported weekly anchor: {weekly_anchor!r}")
+    shift = 6 if weekly_anchor == "sunday" else 0
     indexed = _indexed(series)
     last = indexed.agg(F.max("bucket").alias("last"))
-    # Weekly dates fall on Sundays, the first one 13 days after the last Monday bucket.
     step = {
         "D": "last + make_interval(0, 0, 0, k)",
-        "W": "last + make_interval(0, 0, 0, 6 + 7 * k)",
+        "W": f"last + make_interval(0, 0, 0, {shift} + 7 * k)",
         "M": "last + make_interval(0, k)",
     }[unit]
     return (
@@ -168,12 +176,13 @@ def forecast(
     periods_ahead: int = DEFAULT_HORIZON,
     method: str = "linear",
     aggregation: str = "sum",
+    weekly_anchor: str = "sunday",
 ) -> DataFrame:
     """``date, value, kind`` with the historical buckets and the forecast ones."""
     series, unit, _ = _series_for(df, date_column, value_column, method, aggregation)
     horizon = max(1, min(periods_ahead, MAX_HORIZON))
     history = series.select(F.col("bucket").alias("date"), "value", F.lit("historical").alias("kind"))
-    ahead = fit_and_extend(series, method, unit, horizon).select("date", "value", F.lit("forecast").alias("kind"))
+    ahead = fit_and_extend(series, method, unit, horizon, weekly_anchor).select("date", "value", F.lit("forecast").alias("kind"))
     return history.unionByName(ahead).orderBy("date")
 
 

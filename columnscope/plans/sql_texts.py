@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from columnscope.operators.asof import asof_join
 from columnscope.operators.sql import run_sql, sql_summary
 from columnscope.plans.base import rounded, table
 
@@ -90,6 +91,15 @@ def _oracle(name: str, text: str) -> str:
 
 
 ENTRIES = {name: (_query(t, text), _oracle(t, text)) for name, (t, text) in TEXTS.items()} | {
+    "asof_join": (
+        lambda spark, folder: rounded(asof_join(
+            table(spark, folder, "events").where("event_type = 'click'").select("event_id", "user_id", "ts"),
+            table(spark, folder, "events").where("event_type = 'view'").select("user_id", "ts", "value"),
+            "ts", "ts", ["user_id"], ["value"],
+        ).select("event_id", "user_id", "matched_value"), 3),
+        "SELECT a.event_id, a.user_id, round(b.value, 3) AS matched_value FROM (SELECT * FROM events WHERE event_type = "
+        "'click') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.ts >= b.ts",
+    ),
     "sql_row_cap": (
         lambda spark, folder: run_sql(
             table(spark, folder, "lineitem"),

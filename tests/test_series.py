@@ -57,6 +57,8 @@ def test_exponential_smoothing_is_the_least_squares_fit(spark):
 
 
 def test_weekly_and_monthly(spark):
+    got = ahead(daily(spark, 200), method="naive", periods_ahead=2, weekly_anchor="monday")
+    assert [d for d, _ in got] == ["2025-07-21", "2025-07-28"]
     assert granularity(daily(spark, 200), "d") == "W"
     assert granularity(daily(spark, 800), "d") == "M"
     assert ahead(daily(spark, 800), method="naive", periods_ahead=1)[0][0] == "2027-04-01"
