@@ -34,9 +34,9 @@ ENTRIES = {
         _flag_sql("round(sum(l_extendedprice), 2) AS sum_l_extendedprice, CAST(sum(l_linenumber) AS BIGINT) AS sum_l_linenumber"),
     ),
     "agg_sum_of_missing": (
-        _gap_groups(("sum", "balance"), ("mean", "balance"), ("count", "balance")),
-        "SELECT segment, c_nationkey, round(coalesce(sum(balance), 0), 2) AS sum_balance, "
-        f"round(avg(balance), 2) AS mean_balance, count(balance) AS count_balance {GAPS} GROUP BY ALL",
+        _gap_groups(("sum", "balance"), ("mean", "balance"), ("count", "balance"), digits=6),
+        "SELECT segment, c_nationkey, round(coalesce(sum(balance), 0), 6) AS sum_balance, "
+        f"round(avg(balance), 6) AS mean_balance, count(balance) AS count_balance {GAPS} GROUP BY ALL",
     ),
     "agg_mean": (_by_flag(("mean", "l_quantity")), _flag_sql("round(avg(l_quantity), 2) AS mean_l_quantity")),
     "agg_median": (

@@ -34,6 +34,10 @@ def _numeric_sql(source: str, columns: dict[int, str]) -> str:
     )
 
 
+def _key_or_measure(column: str) -> str:
+    return f"CASE WHEN count(DISTINCT {column}) = count(*) AND count(*) > 1 THEN 'identifier' ELSE 'measure' END"
+
+
 def _numeric(spark, folder, name):
     return rounded(profile(table(spark, folder, name)).numeric_frame(), 4)
 
@@ -177,10 +181,10 @@ ENTRIES = {
         lambda spark, folder: profile(table(spark, folder, "supplier")).schema_listing(),
         _union(
             f"SELECT count(*) AS row_count, 4 AS column_count, {i} AS position, '{c}' AS name, '{t}' AS inferred_type, "
-            f"'{lt}' AS logical_type, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count FROM supplier"
+            f"{lt} AS logical_type, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count FROM supplier"
             for i, (c, t, lt) in enumerate([
-                ("s_suppkey", "integer", "identifier"), ("s_name", "text", "identifier"),
-                ("s_nationkey", "integer", "measure"), ("s_acctbal", "float", "measure"),
+                ("s_suppkey", "integer", _key_or_measure("s_suppkey")), ("s_name", "text", "'identifier'"),
+                ("s_nationkey", "integer", _key_or_measure("s_nationkey")), ("s_acctbal", "float", "'measure'"),
             ])
         ),
     ),
