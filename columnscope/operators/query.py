@@ -23,7 +23,6 @@ from columnscope.functions.columns import (
     is_fractional,
     is_integral,
     is_missing,
-    is_nested,
     is_numeric,
     is_temporal,
     is_text,
