@@ -6,17 +6,79 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from columnscope.llm import jaccard
+from columnscope.llm import chat, jaccard, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+URL_RULES = (
+    url_filter.UrlRule("com", "/", "allow"), url_filter.UrlRule("example.com", "/en/", "block"),
+    url_filter.UrlRule("www.example.com", "/en/", "allow"), url_filter.UrlRule("net", "/es/", "block"),
+    url_filter.UrlRule("net", "/fr/", "block"),
+)
+
+
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    return chat.digests(chat.format_turns(turns.unionAll(own)))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(_table(spark, folder, "documents"), width=3, threshold=Fraction(9, 10))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.assess(_table(spark, folder, "documents")).drop("failed_rule")
+
+
+# The host as the contract words it; no page of the given tables has a redirect or canonical link, so SQL needs no aliases.
+_OP2_SQL = r"""
+WITH cut AS (
+    SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS p FROM pages
+), rest AS (
+    SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest FROM cut
+), parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), rules (host, path, verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+           ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), hits AS (
+    SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+    FROM parts t JOIN rules r ON (t.host = r.host OR ends_with(t.host, '.' || r.host)) AND starts_with(t.path, r.path)
+    GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS alias_of
+FROM parts LEFT JOIN hits USING (page_id)"""
+
+_OP9_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), read AS (
+    SELECT conv_id, turn, role, text, role = 'assistant' AS trained,
+           length(regexp_replace(text, '(\\|###|</turn>|<\|)', '\\\1', 'g'))
+           + length(role) + 15 AS shown
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (trained), '')) AS loss_sha256,
+       CAST(sum(shown) AS BIGINT) AS formatted_chars
+FROM read GROUP BY conv_id"""
+
 ENTRIES = {
+    "op2_url_filters": (op2_url_filters, _OP2_SQL),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
+    "op7_quality_rules": (op7_quality_rules, None),
+    "op9_chat_formatting": (op9_chat_formatting, _OP9_SQL),
 }
