@@ -46,15 +46,15 @@ def path_of(url: Column) -> Column:
 
 
 def _matched(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
-    """The longest fitting rule as (name, verdict), null if none fits; of equal names the blocking one."""
+    """The longest fitting rule as (verdict, rule), null if none fits; of equal names the blocking one."""
     hits = [
         F.when(
             ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path),
-            F.struct(F.lit(len(rule.name)).alias("length"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.name).alias("rule")),
+            F.struct(F.lit(rule.verdict).alias("verdict"), F.lit(rule.name).alias("rule")),
         )
-        for rule in rules
+        for rule in sorted(rules, key=lambda r: (-len(r.name), r.verdict != "block"))
     ]
-    return F.array_max(F.array_compact(F.array(*hits))) if hits else F.lit(None).cast("struct<length:int,verdict:string,rule:string>")
+    return F.coalesce(*hits) if hits else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
 def _key(url: Column) -> Column:
