@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from columnscope.llm import chat, jaccard, quality_rules, url_filter
+from columnscope.llm import chat, jaccard, quality_rules, token_files, url_filter
+from columnscope.llm.storage import shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +33,14 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionAll(own)))
 
 
+def op3_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    out = f"{shared_folder(spark)}/tokens-{uuid.uuid4()}"
+    segments = token_files.write_tokens(_table(spark, folder, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.document_facts(segments)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(_table(spark, folder, "documents"), width=3, threshold=Fraction(9, 10))
 
@@ -78,6 +88,7 @@ FROM read GROUP BY conv_id"""
 
 ENTRIES = {
     "op2_url_filters": (op2_url_filters, _OP2_SQL),
+    "op3_token_id_output": (op3_token_id_output, None),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op9_chat_formatting": (op9_chat_formatting, _OP9_SQL),
