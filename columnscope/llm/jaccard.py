@@ -249,10 +249,15 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int
     docs = only(df, id=id, text=text)
     sets = materialise(_sets(docs, width))
     reps = sets.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    same = sets.where("n > 0").join(reps, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    same = materialise(sets.where("n > 0").join(reps, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b").distinct())
     rows = _signature_rows(docs, width, threshold).repartition("sig")
     shared = rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sig", "first")
-    buckets = materialise(rows.join(shared.hint("shuffle_hash"), "sig"))
+    # copies stand for their representative from here on, so that no set is compared with its like
+    mixed_ids = sets.groupBy("id").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least <> most")
+    moved = same.select(F.col("b").alias("id"), F.col("a").alias("rep")).join(mixed_ids, "id", "left_anti")
+    met = rows.join(shared.hint("shuffle_hash"), "sig").join(moved, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
+    least = met.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sig", "first")
+    buckets = materialise(met.join(least.hint("shuffle_hash"), "sig"))
     stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialise(stars)
     links = same

@@ -6,15 +6,34 @@ import uuid
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from columnscope.llm import chat, jaccard, quality_rules, token_files, url_filter
-from columnscope.llm.storage import shared_folder
+from columnscope.llm import chat, jaccard, mixing, quality_rules, token_files, url_filter
+from columnscope.llm.storage import materialise, shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# The tree is domain, language, source; domains are sets of sources.
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = {"web": 50, "books": 30, "forum": 20, "en": 60, "de": 15, "fr": 15, "es": 10}
+MIX_EPOCHS, MIX_SEED = 2, 11
+
+
+def with_domain(documents: DataFrame) -> DataFrame:
+    number = F.regexp_extract("source", r"^src([0-9]{1,9})$", 1)
+    domain = F.when(number == "0", "web").when((number != "") & (number.cast("long") % 2 == 0), "books").otherwise("forum")
+    return documents.withColumn("domain", domain)
+
+
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = with_domain(_table(spark, folder, "documents"))
+    counted = materialise(documents.select("doc_id", *MIX_LEVELS, mixing.n_words(F.col("text")).alias("n_tokens")))
+    return mixing.mix(counted, MIX_LEVELS, "n_tokens", 1.0, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
 URL_RULES = (
     url_filter.UrlRule("com", "/", "allow"), url_filter.UrlRule("example.com", "/en/", "block"),
     url_filter.UrlRule("www.example.com", "/en/", "allow"), url_filter.UrlRule("net", "/es/", "block"),
@@ -86,7 +105,61 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(shown) AS BIGINT) AS formatted_chars
 FROM read GROUP BY conv_id"""
 
+
+
+def _op1_sql() -> str:
+    weights = " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX_WEIGHTS.items())
+    parts = [f"""
+WITH counted AS (
+    SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'web'
+           WHEN regexp_matches(source, '^src[0-9]+$') AND CAST(substr(source, 4) AS BIGINT) % 2 = 0 THEN 'books' ELSE 'forum' END AS domain,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+    FROM documents
+), leaves AS (
+    SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, {MIX_EPOCHS} * sum(n_tokens)::HUGEINT AS room FROM counted GROUP BY ALL
+), given0 AS (SELECT least(sum(room), sum(tokens)) AS given FROM leaves)"""]
+    for depth in range(1, len(MIX_LEVELS) + 1):
+        path, up = ", ".join(MIX_LEVELS[:depth]), MIX_LEVELS[:depth - 1]
+        parent = f"PARTITION BY {', '.join(up)}" if up else ""
+        on = f"USING ({', '.join(up)})" if up else "ON true"
+        parts.append(f""", nodes{depth} AS (
+    SELECT n.*, CASE {MIX_LEVELS[depth - 1]} {weights} ELSE 1 END AS weight, p.given AS budget
+    FROM (SELECT {path}, sum(room) AS room FROM leaves GROUP BY ALL) n JOIN given{depth - 1} p {on}
+), ordered{depth} AS (
+    SELECT *, budget - coalesce(sum(room) OVER before, 0) AS left_over,
+           sum(weight) OVER ({parent}) - coalesce(sum(weight) OVER before, 0) AS weights,
+           row_number() OVER ({parent} ORDER BY room::DOUBLE / weight, {path}) AS place
+    FROM nodes{depth} WHERE room > 0
+    WINDOW before AS ({parent} ORDER BY room::DOUBLE / weight, {path} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), opened{depth} AS (
+    SELECT *, min(CASE WHEN room * weights > weight * left_over THEN place END) OVER ({parent}) AS first_open FROM ordered{depth}
+), rests{depth} AS (
+    SELECT *, place >= coalesce(first_open, place + 1) AS is_open,
+           max(CASE WHEN place = first_open THEN left_over END) OVER ({parent}) AS rest,
+           max(CASE WHEN place = first_open THEN weights END) OVER ({parent}) AS by_weight FROM opened{depth}
+), shares{depth} AS (
+    SELECT *, CASE WHEN is_open THEN (weight * rest)::HUGEINT // by_weight::HUGEINT ELSE room END AS share FROM rests{depth}
+), given{depth} AS (
+    SELECT {path}, share + CASE WHEN is_open AND place - first_open + 1 <= rest - sum(CASE WHEN is_open THEN share END) OVER ({parent}) THEN 1 ELSE 0 END AS given
+    FROM shares{depth}
+)""")
+    depth = len(MIX_LEVELS)
+    parts.append(f""", plan AS (
+    SELECT domain, lang, source, (given // tokens)::INT AS whole, given % tokens AS rest FROM given{depth} JOIN leaves USING (domain, lang, source) WHERE given > 0
+), placed AS (
+    SELECT c.*, whole, rest, coalesce(sum(n_tokens) OVER (
+               PARTITION BY domain, lang, source ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM counted c JOIN plan USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, e.epoch::INT AS epoch, n_tokens AS taken
+FROM placed JOIN (SELECT unnest(range({MIX_EPOCHS})) AS epoch) e ON e.epoch < whole
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, whole, least(n_tokens, rest - start)::BIGINT FROM placed WHERE start < rest""")
+    return "".join(parts)
+
+
 ENTRIES = {
+    "op1_source_mixing": (op1_source_mixing, _op1_sql()),
     "op2_url_filters": (op2_url_filters, _OP2_SQL),
     "op3_token_id_output": (op3_token_id_output, None),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
