@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnscope.llm import chat, jaccard, mixing, quality_rules, token_files, url_filter
+from columnscope.llm import chat, jaccard, mixing, quality_classifier, quality_rules, token_files, toxicity, url_filter
 from columnscope.llm.storage import materialise, shared_folder
 
 
@@ -34,6 +34,13 @@ def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(counted, MIX_LEVELS, "n_tokens", 1.0, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_classifier.score(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels"), may_learn=lambda id: _fold(id).isin(0, 1), calibrates=lambda id: _fold(id) == 3
+    )
+    return scored.select("doc_id", (_fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 URL_RULES = (
     url_filter.UrlRule("com", "/", "allow"), url_filter.UrlRule("example.com", "/en/", "block"),
     url_filter.UrlRule("www.example.com", "/en/", "allow"), url_filter.UrlRule("net", "/es/", "block"),
@@ -60,6 +67,18 @@ def op3_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.document_facts(segments)
 
 
+def _fold(id):
+    """The contract's fold of a document; fold 2 is held out."""
+    return F.crc32(id.cast("string")) % 4
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels"), may_learn=lambda id: _fold(id).isin(0, 1), calibrates=lambda id: _fold(id) == 3
+    )
+    return scored.select("doc_id", (_fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(_table(spark, folder, "documents"), width=3, threshold=Fraction(9, 10))
 
@@ -162,7 +181,9 @@ ENTRIES = {
     "op1_source_mixing": (op1_source_mixing, _op1_sql()),
     "op2_url_filters": (op2_url_filters, _OP2_SQL),
     "op3_token_id_output": (op3_token_id_output, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
     "op7_quality_rules": (op7_quality_rules, None),
+    "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_chat_formatting": (op9_chat_formatting, _OP9_SQL),
 }
