@@ -28,7 +28,9 @@ from columnscope.llm.words import distinct, groups, mixed, seeded, shingles, sum
 
 _PIECES = 3
 _SEEDS = 8
-# A bucket whose members have several components is compared in blocks of so many features (16 MB of hashes).
+# The pairs of a bucket with at most so many members are listed; a longer one is compared in blocks of so many
+# features (16 MB of hashes) or members.
+LISTED_MEMBERS = 24
 BLOCK_FEATURES = 1 << 21
 BLOCK_MEMBERS = 2048
 
@@ -189,8 +191,9 @@ def _compare_blocks(threshold: Fraction):
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         out = []
-        for x in np.flatnonzero(left):
-            others = right & (label != label[x])
+        # members of the commonest component meet the others when those have their turn
+        for x in np.flatnonzero(label != np.bincount(label).argmax()):
+            others = ((right & left[x]) | (left & right[x])) & (label != label[x])
             if not others.any():
                 continue
             lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
@@ -206,11 +209,13 @@ def _compare_blocks(threshold: Fraction):
     return run
 
 
-def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame | None:
-    """Links between different components that share a bucket: every such pair is compared, in blocks.
+def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, threshold: Fraction) -> DataFrame | None:
+    """Links between different components that share a bucket: every such pair is compared.
 
-    Pairs with a bucket's first member have been compared before. Buckets with the same members are compared once. A bucket is cut into blocks of bounded size by hash, and each
-    pair of blocks is a group of its own, so no task gets a whole bucket; only links come out, no candidate pairs.
+    Pairs with a bucket's first member have been compared before, and buckets with the same members are looked at
+    once. The pairs of a short bucket are listed, each once whatever the number of its buckets. A longer bucket is cut
+    into blocks of bounded size by hash, and each pair of blocks is a group of its own, so no task gets a whole
+    bucket and only links come out of it.
     """
     labelled = buckets.where("id <> first").join(comps.withColumnRenamed("component", "comp"), "id").select("sig", "id", "comp")
     several = labelled.groupBy("sig").agg(
@@ -220,17 +225,23 @@ def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, width: int, thr
     left = materialise(labelled.join(several, "sig"))
     if left.isEmpty():
         return None
-    sets = materialise(_some_sets(docs, width, left))
-    sized = left.join(sets, "id").withColumn("size", F.length("features") / 8)
-    most = sized.groupBy("sig").agg(F.max("size").alias("largest"), F.max("members").alias("members"))
-    blocks = F.ceil(F.col("members") / F.least(F.lit(BLOCK_MEMBERS), F.greatest(F.lit(2), F.floor(F.lit(BLOCK_FEATURES) / F.col("largest")))))
-    cut = left.select("sig", "id", "comp").join(most.select("sig", blocks.cast("int").alias("blocks")), "sig").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    ).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cut = cut.select("sig", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     kind = dict(docs.dtypes)["id"]
-    found = cut.join(sets, "id").groupBy("sig", "i", "j").applyInPandas(_compare_blocks(threshold), f"a {kind}, b {kind}")
-    return materialise(found.distinct())
+    short = left.where(F.col("members") <= LISTED_MEMBERS).select("sig", "id", "comp")
+    other = short.select("sig", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = materialise(short.withColumnRenamed("id", "a").join(other, "sig").where("a < b and comp <> comp_b").select("a", "b").distinct())
+    links = _verified(pairs, _some_sets(docs, width, pairs.select(F.explode(F.array("a", "b")).alias("id"))), threshold)
+    long = left.where(F.col("members") > LISTED_MEMBERS)
+    if not long.isEmpty():
+        sized = long.join(sizes.groupBy("id").agg(F.max("n").alias("size")), "id")
+        most = sized.groupBy("sig").agg(F.max("size").alias("largest"), F.max("members").alias("members"))
+        blocks = F.ceil(F.col("members") / F.least(F.lit(BLOCK_MEMBERS), F.greatest(F.lit(2), F.floor(F.lit(BLOCK_FEATURES) / F.col("largest")))))
+        cut = long.select("sig", "id", "comp").join(most.select("sig", blocks.cast("int").alias("blocks")), "sig").withColumn(
+            "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        ).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        cut = cut.select("sig", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        found = cut.join(_some_sets(docs, width, long), "id").groupBy("sig", "i", "j").applyInPandas(_compare_blocks(threshold), f"a {kind}, b {kind}")
+        links = links.unionAll(found)
+    return materialise(links.distinct())
 
 
 def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -265,7 +276,7 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int
         ends = stars.select(F.explode(F.array("a", "b")).alias("id"))
         links = materialise(same.unionAll(_verified(stars, _some_sets(docs, width, ends), threshold)))
         alone = buckets.select(F.col("id").alias("a"), F.col("id").alias("b"))
-        more = _rest(buckets, components(links.unionAll(alone)), docs, width, threshold)
+        more = _rest(buckets, components(links.unionAll(alone)), docs, sets, width, threshold)
         if more is not None:
             links = links.unionAll(more)
     found = components(links)
