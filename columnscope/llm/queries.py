@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnscope.llm import chat, jaccard, mixing, quality_classifier, quality_rules, token_files, toxicity, url_filter
+from columnscope.llm import chat, decontamination, jaccard, mixing, quality_classifier, quality_rules, token_files, toxicity, url_filter
 from columnscope.llm.storage import materialise, shared_folder
 
 
@@ -79,6 +79,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (_fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(_table(spark, folder, "documents"), width=3, threshold=Fraction(9, 10))
 
@@ -182,6 +186,7 @@ ENTRIES = {
     "op2_url_filters": (op2_url_filters, _OP2_SQL),
     "op3_token_id_output": (op3_token_id_output, None),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_benchmark_decontamination": (op5_benchmark_decontamination, None),
     "op6_ngram_jaccard_join": (op6_ngram_jaccard_join, None),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
