@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnscope.llm import chat, decontamination, jaccard, mixing, quality_classifier, quality_rules, token_files, toxicity, url_filter
+from columnscope.llm import chat, decontamination, jaccard, mixing, quality_classifier, quality_rules, repeats, token_files, toxicity, url_filter
 from columnscope.llm.storage import materialise, shared_folder
 
 
@@ -52,6 +52,10 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.passages(_table(spark, folder, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -191,4 +195,5 @@ ENTRIES = {
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_chat_formatting": (op9_chat_formatting, _OP9_SQL),
+    "op10_substring_dedup": (op10_substring_dedup, None),
 }
