@@ -283,3 +283,20 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int
     return sets.join(found, "id", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
+
+
+# A list of rows to drop with at most so many ids (16 MB) is sent to all tasks; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``df``, all columns, that stay when of every group of linked documents the one of smallest id stays.
+
+    Rows with a null id, and rows without words, have no links and stay; rows that share an id are one document and
+    stay or go together.
+    """
+    found = similar(df, id, text, width=width, threshold=threshold)
+    gone = materialise(found.where(F.col(f"`{id}`") != F.col("component_id")).select(F.col(f"`{id}`").alias("__gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, df[f"`{id}`"] == F.col("__gone"), "left_anti")
