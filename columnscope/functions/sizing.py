@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +11,8 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from columnscope.errors import ValidationError
+
 # Inputs up to this size may keep the distinct values of one group in one task (Spark's own percentile).
 EXACT_IN_MEMORY_CONF = "spark.columnscope.exactInMemoryBytes"
 EXACT_IN_MEMORY_DEFAULT = 128 * 1024 * 1024
@@ -44,11 +47,16 @@ def bucket_target(df: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: ``spark.checkpoint.dir``, or a temporary one only where none is set."""
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or in local mode a temporary one where none is set.
+
+    Executors of a cluster cannot read a folder of the driver's machine, so a cluster has to name one.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="columnscope-")
-        context.setCheckpointDir(folder)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValidationError("Set spark.checkpoint.dir to a folder that all executors share.")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="columnscope-"))
     return context.getCheckpointDir()
 
 

@@ -133,13 +133,14 @@ def _query(df: DataFrame, sql: str) -> DataFrame:
         _check_plan(_parsed(spark, body), frozenset({VIEW}))
         with _view_lock:
             earlier = spark.table(VIEW) if spark.catalog._jcatalog.tableExists(VIEW) else None
-            df.createOrReplaceTempView(VIEW)
+            # A view of df itself would share its plan, and dropping the view would end the caller's caching.
+            df.select("*").createOrReplaceTempView(VIEW)
             try:
                 return spark.sql(body)
             finally:
                 spark.catalog.dropTempView(VIEW)
                 if earlier is not None:
-                    earlier.createOrReplaceTempView(VIEW)
+                    earlier.select("*").createOrReplaceTempView(VIEW)
     except (ParseException, AnalysisException) as e:
         raise ValidationError(f"SQL error: {e}") from e
     except Exception as e:

@@ -81,7 +81,7 @@ def _smoothing(train: DataFrame) -> DataFrame:
     """Alpha from a grid of a thousand, then refined around the best one."""
     ordered = train.agg(
         F.count(F.lit(1)).alias("n"),
-        F.expr("transform(array_sort(collect_list(struct(idx, value))), p -> p.value)").alias("ys"),
+        F.expr("transform(array_sort(collect_list(struct(idx, value)) filter (where value is not null)), p -> p.value)").alias("ys"),
     )
     coarse = _best_smoothing(
         ordered.selectExpr("n", "ys", f"explode(sequence(0, {_ALPHA_STEPS})) as k")
@@ -96,10 +96,14 @@ def _smoothing(train: DataFrame) -> DataFrame:
 
 
 def _model(train: DataFrame, method: str) -> DataFrame:
-    """One row ``n, slope, level``: the forecast for index t is ``level + slope * t``."""
+    """One row ``n, slope, level``: the forecast for index t is ``level + slope * t``.
+
+    A bucket without a value counts as a step of time but is left out of every fit; the moving average is that of the
+    values among the last buckets.
+    """
     n = F.count(F.lit(1)).alias("n")
     if method == "naive":
-        return train.agg(n, F.lit(0.0).alias("slope"), F.max_by("value", "idx").alias("level"))
+        return train.agg(n, F.lit(0.0).alias("slope"), F.max_by("value", F.when(F.col("value").isNotNull(), F.col("idx"))).alias("level"))
     if method == "moving_average":
         last = F.when(F.col("idx") >= F.col("n") - MOVING_WINDOW, F.col("value"))
         return train.agg(n, F.lit(0.0).alias("slope"), F.avg(last).alias("level"))

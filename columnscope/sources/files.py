@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from columnscope.errors import UnsupportedFileError, ValidationError
 from columnscope.functions.columns import ROW_ID, normalise_missing, ref
@@ -23,6 +24,7 @@ MAX_BYTES = 200 * 1024 * 1024
 DELIMITERS = (",", "\t", ";", "|")
 SNIFF_CHARS = 8192
 _CORRUPT = "_corrupt_record"
+_WIDE = "__too_wide"
 
 
 def _extension(path: Column) -> Column:
@@ -65,14 +67,49 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return DELIMITERS[counts.index(max(counts))] if any(counts) else ","
 
 
-def encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, encoding`` per file: UTF-8 if every line is valid UTF-8, else Latin-1."""
-    return (
-        spark.read.text(paths)
-        .select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
-        .groupBy("file").agg(F.min("valid").alias("valid"))
-        .select("file", F.when(F.col("valid"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"))
+def _heads(lines: DataFrame) -> DataFrame:
+    """``file, delimiter`` by the start of every file; lines past the first 2,048 of a file are dropped task by task."""
+    first = W.partitionBy("file").orderBy("place")
+    heads = (
+        lines.where("block = 0").select("file", "place", F.substring("value", 1, SNIFF_CHARS).alias("value"))
+        .withColumn("nth", F.row_number().over(first)).where("nth <= 2048")
+        .groupBy("file").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda r: r["value"]), "\n"), 1, SNIFF_CHARS).alias("start"))
+    )
+    # the most frequent separator, the one listed first among equals
+    counts = F.array(*[
+        F.struct((F.length("start") - F.length(F.replace("start", F.lit(d)))).alias("n"), F.lit(-i).alias("turn"), F.lit(d).alias("delimiter"))
+        for i, d in enumerate(DELIMITERS)
+    ])
+    return heads.select("file", F.when(F.lower("file").endswith(".tsv"), F.lit("\t")).otherwise(F.array_max(counts)["delimiter"]).alias("delimiter"))
+
+
+def layouts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file, encoding, delimiter, quoted_breaks`` per file.
+
+    UTF-8 if every line is valid UTF-8, else Latin-1. A line with an odd number of quotes begins or ends a quoted
+    line break, so such a file is to be read whole instead of line by line.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value"
     )
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    facts = lines.groupBy("file").agg(F.min(F.is_valid_utf8("value")).alias("valid"), F.max(odd).alias("quoted_breaks"))
+    return facts.join(_heads(lines), "file").select(
+        "file", F.when(F.col("valid"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1")).alias("encoding"), "delimiter", "quoted_breaks"
+    )
+
+
+def _common_schema(schemas: list[T.StructType]) -> T.StructType:
+    """One type per column for files read apart: the same type, double for numbers, else text. Headers must agree."""
+    names = schemas[0].names
+    if any(s.names != names for s in schemas):
+        raise ValidationError("The files have different headers.")
+    fields = []
+    for name in names:
+        kinds = {s[name].dataType for s in schemas}
+        kind = kinds.pop() if len(kinds) == 1 else T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds) else T.StringType()
+        fields.append(T.StructField(name, kind))
+    return T.StructType(fields)
 
 
 def _with_offsets(tagged: DataFrame) -> DataFrame:
@@ -93,7 +130,7 @@ def scan_delimited(
 ) -> DataFrame:
     reader = spark.read.options(
         header=True, sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=multi_line,
-        mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, nanValue="NaN",
+        mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, nanValue="NaN", columnPruning=False,
     )
     if schema is None:
         schema = reader.option("inferSchema", True).csv(paths).schema
@@ -101,40 +138,48 @@ def scan_delimited(
 
 
 def read_delimited(
-    spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False, numbered: bool = True
+    spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool | None = None, numbered: bool = True
 ) -> DataFrame:
-    """All delimited files under ``path`` as one table with ``_row_id``; Latin-1 files are decoded as such."""
+    """All delimited files under ``path`` as one table with ``_row_id``.
+
+    Encoding, delimiter (unless given) and quoted line breaks (unless ``multi_line`` is given) are found file by
+    file; files of one layout are read together, and all get the same column types.
+    """
     files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
     if not files:
         raise ValidationError(f"No files found at {path!r}.")
-    delimiter = delimiter or detect_delimiter(spark, files[0])
-    by_encoding: dict[str, list[str]] = {}
-    for row in encodings(spark, files).orderBy("file").collect():  # one row per file
-        by_encoding.setdefault(row["encoding"], []).append(row["file"])
-    if not by_encoding:
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for row in layouts(spark, files).orderBy("file").collect():  # one row per file
+        whole = row["quoted_breaks"] if multi_line is None else multi_line
+        groups.setdefault((row["encoding"], delimiter or row["delimiter"], whole), []).append(row["file"])
+    if not groups:
         raise ValidationError("Uploaded file is empty.")
     parts, schema = [], None
     try:
-        if len(by_encoding) > 1:
-            # One schema for all files: infer it over everything, ASCII content reads the same either way.
-            schema = spark.read.options(
-                header=True, sep=delimiter, encoding="ISO-8859-1", quote='"', escape='"', inferSchema=True
-            ).csv(files).schema
-        for encoding, members in by_encoding.items():
-            scan = scan_delimited(spark, members, delimiter, encoding, schema, multi_line)
-            tagged = scan.select(
-                "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")
-            )
-            parts.append(tagged)
+        if len(groups) > 1:
+            schema = _common_schema([
+                spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=whole, inferSchema=True).csv(members).schema
+                for (encoding, sep, whole), members in groups.items()
+            ])
+        for (encoding, sep, whole), members in groups.items():
+            scan = scan_delimited(spark, members, sep, encoding, schema, whole)
+            parts.append(scan.select(
+                "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.lit(sep).alias("__sep")
+            ))
     except AnalysisException as e:
         raise ValidationError(f"Could not parse CSV: {e}") from e
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
-    if not [c for c in table.columns if c not in (_CORRUPT, "__file", "__block")]:
+    names = [c for c in table.columns if c not in (_CORRUPT, "__file", "__block", "__sep")]
+    if not names:
         raise ValidationError("No columns detected in file.")
+    # A short row is padded with NULLs; a row with more fields than the header is an error.
+    fields = F.regexp_replace(ref(_CORRUPT), r'"[^"]*"', "")
+    wide = ref(_CORRUPT).isNotNull() & (F.length(fields) - F.length(F.replace(fields, F.col("__sep"))) >= len(names))
+    table = table.withColumn(_WIDE, F.coalesce(wide, F.lit(False))).drop("__sep")
     if not numbered:
-        return table.drop("__file", "__block")
+        return table.drop("__file", "__block", _WIDE)
     return _with_offsets(table.withColumn("__place", F.monotonically_increasing_id()))
 
 
@@ -146,12 +191,13 @@ class Ingested:
 
 
 def ingest(
-    spark: SparkSession, path: str, out: str, *, delimiter: str | None = None, multi_line: bool = False,
+    spark: SparkSession, path: str, out: str, *, delimiter: str | None = None, multi_line: bool | None = None,
     extensions: tuple[str, ...] = (*DEFAULT_EXTENSIONS, "tsv", "txt"), max_bytes: int | None = None,
 ) -> Ingested:
     """Read delimited files or workbooks of one table and store them as Parquet at ``out``.
 
-    Row and bad-row counts are observed during the write, so the data is not read again for them.
+    Rows are checked before anything is written, so a table that is already at ``out`` survives a failed ingest; they
+    are counted in what was written.
     """
     checked = check_files(spark, path, extensions, max_bytes)
     facts = checked.groupBy("extension", "reason").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -163,25 +209,18 @@ def ingest(
             raise kind(row["reason"], details={"allowed": sorted(extensions)})
     kinds = {row["extension"] for row in facts}
     if kinds <= set(DELIMITED):
-        delimiter = delimiter or detect_delimiter(spark, checked.orderBy("path").first()["path"])
         table = read_delimited(spark, path, delimiter, multi_line)
+        # the reader looks at a whole row only if it is not asked for the malformed text alone
+        bad = table.agg(F.count_if(F.col(_WIDE)).alias("bad"), F.count(ref(table.columns[0]))).first()["bad"]
+        if bad:
+            raise ValidationError(f"Could not parse CSV: {bad} row(s) have more fields than the header.")
     elif kinds <= set(WORKBOOKS):
         table = read_workbooks(spark, path)
     else:
         raise UnsupportedFileError(f"Unsupported file extension(s): {sorted(kinds)}")
-
-    names = [c for c in table.columns if c not in (_CORRUPT, ROW_ID)]
-    watch = Observation()
-    bad = F.lit(False)
-    if _CORRUPT in table.columns:
-        # A short row is padded with NULLs; a row with more fields than the header is an error.
-        fields = F.regexp_replace(ref(_CORRUPT), r'"[^"]*"', "")
-        bad = ref(_CORRUPT).isNotNull() & (F.length(fields) - F.length(F.replace(fields, F.lit(delimiter))) >= len(names))
-    stored = table.observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
-    normalise_missing(stored.select(*[ref(n) for n in names], ROW_ID)).write.mode("overwrite").parquet(out)
-    if watch.get["bad"]:
-        raise ValidationError(f"Could not parse CSV: {watch.get['bad']} row(s) have more fields than the header.")
-    return Ingested(out, watch.get["rows"], len(names))
+    names = [c for c in table.columns if c not in (_CORRUPT, _WIDE, ROW_ID)]
+    normalise_missing(table.select(*[ref(n) for n in names], ROW_ID)).write.mode("overwrite").parquet(out)
+    return Ingested(out, read_table(spark, out).count(), len(names))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,8 @@ import zipfile
 
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from columnscope.errors import UnsupportedFileError, ValidationError
 from columnscope.operators.query import preview, run_query
@@ -58,6 +60,38 @@ def test_delimiters(spark, tmp_path, text, delimiter):
     assert detect_delimiter(spark, str(tmp_path / "f.csv")) == delimiter
 
 
+def test_layouts_file_by_file(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,n\np,1\n")
+    (folder / "b.csv").write_text("x;n\nq;2.5\n")
+    (folder / "c.csv").write_text('x,n\n"a\nb",3\n"c,""d""",4\n')
+    got = ingest(spark, str(folder), str(tmp_path / "out"))
+    rows = [(r["x"], r["n"]) for r in read_table(spark, got.path).orderBy("_row_id").collect()]
+    assert rows == [("p", 1.0), ("q", 2.5), ("a\nb", 3.0), ('c,"d"', 4.0)]
+    (folder / "d.csv").write_text("x|m\np|1\n")
+    with pytest.raises(ValidationError, match="headers"):
+        ingest(spark, str(folder), str(tmp_path / "out"))
+    (folder / "d.csv").write_text("x,n\np,1,2\n")
+    with pytest.raises(ValidationError, match="more fields"):
+        ingest(spark, str(folder), str(tmp_path / "out"))
+    assert read_table(spark, got.path).count() == 4
+
+
+def test_training_after_ingest(spark, tmp_path):
+    from columnscope.operators.learning import train
+
+    text = "a,b,kind,y\n" + "".join(f"{i % 17},{i % 5},{'uv'[(i % 17) > 8]},{3 * (i % 17) + i % 5}\n" for i in range(120))
+    (tmp_path / "t.csv").write_text(text)
+    table = read_table(spark, ingest(spark, str(tmp_path / "t.csv"), str(tmp_path / "o")).path)
+    seen = Observation()
+    table.observe(seen, F.count(F.lit(1)).alias("n")).count()
+    for algorithm in ("logistic_regression", "random_forest"):
+        assert train(table, "classification", ["a", "b"], "kind", algorithm).metrics["accuracy"] > 0.9
+    for algorithm in ("linear_regression", "random_forest", "gradient_boosting"):
+        assert train(table, "regression", ["a", "b"], "y", algorithm).metrics["r2"] > 0.9
+
+
 def test_bad_files(spark, tmp_path):
     (tmp_path / "wide.csv").write_text("a,b\n1,2\n1,2,3\n")
     (tmp_path / "empty.csv").write_text("")
@@ -117,11 +151,11 @@ def test_report(spark, sample, tmp_path):
     assert row["assistant_message"] == "new" and row["summary"]["quality"]["overall"] == 90
     assert [c["kind"] for c in row["charts"]] == ["histogram", "bar", "line", "heatmap"]
     assert row["anomalies"][0]["outlier_count"] == 4 and len(row["anomalies"][0]["sample_rows"]) == 4
-    assert row["executive_summary"].startswith("This dataset ('sample.csv') contains 10 rows and 6 columns (512 bytes).")
+    assert row["executive_summary"].startswith("sample.csv - Rows: 10, columns: 6, bytes: 512, quality: 90 of 100")
     assert len(row["recommendations"]) == 2
     write_report(got, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 1
     clean = profile(spark.createDataFrame(pd.DataFrame({"g": ["a", "b"] * 10, "v": [1.0, 2.0, 3.0, 4.0] * 5, "i": range(20)})))
-    assert recommendation_list(clean)[0].startswith("This dataset is in good shape")
+    assert recommendation_list(clean)[0].startswith("Nothing needs to be done")
     alone = report(sample, "s", messages=talk.where("role = 'user'")).first()
     assert alone["assistant_message"] is None
