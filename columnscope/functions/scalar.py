@@ -60,7 +60,7 @@ def parse_timestamp(value: Column, dtype: T.DataType) -> Column:
         read = text.try_cast("timestamp") if fmt is None else F.try_to_timestamp(text, F.lit(fmt))
         test = text.rlike(pattern)
         parsed = F.when(test, read) if parsed is None else parsed.when(test, read)
-    looks_short = (F.length(value) <= DATE_MAX_CHARS) & value.rlike(r"\d{4}")
+    looks_short = (F.length(text) <= DATE_MAX_CHARS) & text.rlike(r"\d{4}")
     return F.when(looks_short, parsed)
 
 

@@ -21,14 +21,15 @@ def train(
     n_clusters: int = 3,
     contamination: float = 0.05,
     seed: int = 42,
+    **options,
 ) -> Trained:
-    """Train the default (or named) algorithm of a task."""
+    """Train the default (or named) algorithm of a task; ``options`` go to a supervised one (encoding, tree_depth, max_classes)."""
     if task in ("classification", "regression") and not target:
         raise ValidationError(f"{task!r} requires a target column.")
     if task == "classification":
-        return train_classifier(df, target, features, algorithm or "logistic_regression", test_size, seed)
+        return train_classifier(df, target, features, algorithm or "logistic_regression", test_size, seed, **options)
     if task == "regression":
-        return train_regressor(df, target, features, algorithm or "linear_regression", test_size, seed)
+        return train_regressor(df, target, features, algorithm or "linear_regression", test_size, seed, **options)
     if task == "clustering":
         return train_clustering(df, features, n_clusters, seed)
     if task == "anomaly_detection":

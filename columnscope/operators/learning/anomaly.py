@@ -1,7 +1,7 @@
 """Isolation Forest: bounded per-tree samples, trees grown in parallel tasks, rows scored in Arrow batches.
 
-What moves around is bounded by the forest's parameters, not by the table: at most ``TREES * SAMPLE`` sampled
-rows are shuffled to the tree builders, and the finished forest has under ``2 * TREES * SAMPLE`` nodes.
+What is shuffled to the tree builders is bounded by the forest's parameters, not by the table: about twice
+``TREES * SAMPLE`` rows; the finished forest has under ``2 * TREES * SAMPLE`` nodes.
 """
 
 from __future__ import annotations
@@ -58,16 +58,21 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, max_depth: int) -> l
 
 
 def _sample(rows: DataFrame, total: int, seed: int) -> DataFrame:
-    """At most ``TREES * SAMPLE`` rows. A large table is thinned first, so no task orders many more than that.
+    """``tree, key`` and the features of rows that may belong to a tree's sample, by one rule at every size.
 
-    The draw is per row, not per content: many copies of one row must not be all in or all out.
+    A tree's sample has the ``min(SAMPLE, total)`` rows with the lowest keys; a key is a hash of the tree, the values and
+    the number of the copy among equal rows, so it depends neither on partitions nor on row order. Only keys
+    below a bound go on, which twice the sample is expected to meet: fewer than the sample is out of all likelihood.
     """
-    need = TREES * SAMPLE
-    if total <= need:
-        return rows.withColumn("h", F.xxhash64(F.lit(seed), *[ref(c) for c in rows.columns]))
-    share = min(1.0, 1.5 * need / total)
-    drawn = rows.withColumn("h", F.expr(f"cast(rand({seed}) * 9e18 as bigint)")).where(f"h < {int(share * 9e18)}")
-    return drawn.orderBy("h").limit(need)
+    columns = [ref(c) for c in rows.columns]
+    copies = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    share = min(1.0, (2 * SAMPLE + 64) / total)
+    bound = min(int((2 * share - 1) * 2 ** 63), 2 ** 63 - 1)
+    keyed = copies.withColumn("h", F.xxhash64(F.lit(seed), *columns, F.col("copy")))
+    drawn = F.expr(
+        f"filter(transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'key', xxhash64(h, t))), s -> s.key <= cast({bound} as bigint))"
+    )
+    return keyed.select(F.explode(drawn).alias("s"), *columns).select("s.tree", "s.key", *columns)
 
 
 def fit_forest(rows: DataFrame, total: int, seed: int) -> pd.DataFrame:
@@ -75,23 +80,17 @@ def fit_forest(rows: DataFrame, total: int, seed: int) -> pd.DataFrame:
     columns = list(rows.columns)
     size = min(SAMPLE, total)
     depth = math.ceil(math.log2(max(size, 2)))
-    sampled = materialise(_sample(rows, total, seed))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng([seed, tree])
-        points = pdf.sort_values("h", kind="stable")[columns].to_numpy(dtype="float64").reshape(-1, width)
-        chosen = points[rng.choice(len(points), min(size, len(points)), replace=False)]
-        nodes = grow_tree(chosen, rng, depth)
+        points = pdf.sort_values(["key", *columns])[columns].to_numpy(dtype="float64").reshape(-1, width)[:size]
+        nodes = grow_tree(points, rng, depth)
         frame = pd.DataFrame(nodes, columns=["node", "feature", "cut", "lower", "upper", "depth"])
         frame.insert(0, "tree", tree)
         return frame
 
-    if total > TREES * SAMPLE:
-        per_tree = sampled.withColumn("tree", F.expr(f"cast(pmod(hash(h), {TREES}) as int)"))
-    else:
-        per_tree = sampled.select("*", F.expr(f"explode(sequence(0, {TREES - 1})) as tree"))
-    return per_tree.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
+    return _sample(rows, total, seed).groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
 
 
 def _scorer(forest: pd.DataFrame, normal: float):

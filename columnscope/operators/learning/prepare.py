@@ -16,7 +16,8 @@ from columnscope.operators.counting import rendered
 
 MIN_ROWS = 10
 MAX_IMPORTANCES = 15
-# StringIndexer keeps its labels on the driver; columns with more values are hashed into a fixed width instead.
+# One-hot labels are kept on the driver; a text feature with more values needs encoding="hashed" (a fixed width).
+ENCODINGS = ("one_hot", "hashed")
 MAX_ONE_HOT = 10_000
 HASH_WIDTH = 1 << 18
 
@@ -51,10 +52,12 @@ def feature_table(df: DataFrame, features: list[str], extra: list[str] = ()) ->
 
 
 class Preparation:
-    """Mean-impute and standardise numbers; fill texts with their mode and one-hot encode them."""
+    """Mean-impute and standardise numbers; fill texts with their mode and encode them as ``encoding`` says."""
 
-    def __init__(self, numeric: list[str], texts: list[str]) -> None:
-        self.numeric, self.texts = numeric, texts
+    def __init__(self, numeric: list[str], texts: list[str], encoding: str = "one_hot") -> None:
+        if encoding not in ENCODINGS:
+            raise ValidationError(f"Unsupported encoding: {encoding!r}. Choose from {list(ENCODINGS)}.")
+        self.numeric, self.texts, self.encoding = numeric, texts, encoding
         self.modes: dict[str, str] = {}
         self.hashed: list[str] = []
 
@@ -65,11 +68,11 @@ class Preparation:
         """Fitted stages and the prepared training table (with column ``features``)."""
         texts = [f"t{i}" for i in range(len(self.texts))]
         if texts:
-            row = train.agg(
-                *[F.mode(t, True).alias(t) for t in texts if not self._is_wide(train, t)]
-            ).first() if not all(self._is_wide(train, t) for t in texts) else None
-            self.hashed = [t for t in texts if self._wide[t]]
-            self.modes = {t: row[t] for t in texts if t not in self.hashed and row[t] is not None}
+            row = train.agg(*[F.mode(t, True).alias(t) for t in texts]).first()
+            self.modes = {t: row[t] for t in texts if row[t] is not None}
+        if texts and self.encoding == "one_hot":
+            self._check_width(train, texts)
+        self.hashed = texts if self.encoding == "hashed" else []
         indexed = [t for t in texts if t not in self.hashed]
         numbers = [f"n{i}" for i in range(len(self.numeric))]
         stages: list = []
@@ -108,12 +111,11 @@ class Preparation:
         self.names = self._feature_names(fitted, numbers, indexed)
         return fitted, table
 
-    def _is_wide(self, train: DataFrame, text: str) -> bool:
-        if not hasattr(self, "_wide"):
-            texts = [f"t{i}" for i in range(len(self.texts))]
-            row = train.agg(*[F.approx_count_distinct(t).alias(t) for t in texts]).first()
-            self._wide = {t: row[t] > MAX_ONE_HOT for t in texts}
-        return self._wide[text]
+    def _check_width(self, train: DataFrame, texts: list[str]) -> None:
+        row = train.agg(*[F.count_distinct(t).alias(t) for t in texts]).first()
+        wide = [self.texts[i] for i, t in enumerate(texts) if row[t] > MAX_ONE_HOT]
+        if wide:
+            raise ValidationError(f"Feature(s) {wide} have more than {MAX_ONE_HOT} values; use encoding='hashed'.")
 
     def transform(self, table: DataFrame) -> DataFrame:
         return self.model.transform(self._filled(table))

@@ -5,15 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from columnscope.plans import catalogue
 from compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-# Forests, boosting and K-Means have tests of their own on small frames.
-SLOW = {
-    "train_forest_classifier", "train_forest_regressor", "train_boosted_regressor", "train_kmeans", "cluster_sizes",
-}
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+CATALOGUE = catalogue()
+SQL = {name: sql for name, (_, sql) in CATALOGUE.items() if sql is not None}
+QUERIES = {name: query for name, (query, _) in CATALOGUE.items()}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +20,7 @@ def con():
 
 
 def test_names():
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -34,6 +32,6 @@ def test_matches_sql(spark, con, name):
     assert differences(QUERIES[name](spark, FOLDER), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
