@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from columnscope.functions.sizing import materialise, shared_folder
 
-__all__ = ["filter_bit", "id_filter", "materialise", "only", "passes", "shared_folder"]
+__all__ = ["filter_bit", "id_filter", "materialise", "only", "passes", "per_worker", "shared_folder"]
 
 # A filter of ids has so many bits (512 KiB), whatever the number of ids: it may pass too many, never too few.
 FILTER_BITS = 1 << 22
@@ -41,3 +46,17 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
 def passes(held: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which of the bits are set: inside a task, for the rows' ``filter_bit``."""
     return (held[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+
+
+_STATE = "columnscope_worker_state"
+
+
+def per_worker(kind: str, key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a worker process and kept for its later tasks; a new key of a kind replaces the old.
+
+    Functions travel to workers by value, so their module's globals are new in every task; a module of the process is not.
+    """
+    state = sys.modules.setdefault(_STATE, types.ModuleType(_STATE)).__dict__
+    if kind not in state or state[kind][0] != key:
+        state[kind] = (key, make())
+    return state[kind][1]

@@ -13,6 +13,7 @@ rows, which only brings them closer to the shared distribution.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnscope.llm.storage import only
+from columnscope.llm.storage import only, per_worker
 from columnscope.llm.words import mixed, table, text_bytes
 
 # Characters are folded to 64 classes: A-Z with a-z, digits, other ASCII, and the bytes of other characters.
@@ -148,12 +149,10 @@ def interpolated(counts: np.ndarray, backoff: np.ndarray, discount: float = DISC
 
 @dataclass(frozen=True)
 class Model:
-    """Both classes' tables as (share, weight), and the line that turns a score into a probability."""
+    """Both classes' tables as (share, weight)."""
 
     toxic: tuple[np.ndarray, np.ndarray]
     ordinary: tuple[np.ndarray, np.ndarray]
-    slope: float = 1.0
-    intercept: float = 0.0
 
     def ratio(self, found: list[np.ndarray]) -> np.ndarray:
         """Log of toxic over ordinary probability of every character."""
@@ -166,16 +165,26 @@ class Model:
             out.append(p)
         return np.log(out[0] / out[1])
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
 
+def _sent(docs: DataFrame, model: Model):
+    """The tables for all tasks, compressed: most cells are empty."""
+    packed = [[zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in tables] for tables in (model.toxic, model.ordinary)]
+    return docs.sparkSession.sparkContext.broadcast((str(uuid.uuid4()), packed))
 
-def _ratios(docs: DataFrame, model: Model) -> DataFrame:
-    """(id, label, ratio): length-normalised log-likelihood ratio of every document; 0 for an empty one."""
-    held = docs.sparkSession.sparkContext.broadcast((model.toxic, model.ordinary))
 
+def _received(held) -> Model:
+    key, packed = held
+
+    def make() -> Model:
+        return Model(*[(np.frombuffer(zlib.decompress(share), np.float32).reshape(-1, SYMBOLS), np.frombuffer(zlib.decompress(weight), np.float32)) for share, weight in packed])
+
+    return per_worker("toxicity", key, make)
+
+
+def _ratios(docs: DataFrame, sent) -> DataFrame:
+    """(id, label, ratio): length-normalised log-likelihood ratio of every document; 0 for an empty one."""
     def run(batches):
-        classes, own = folded(), Model(*held.value)
+        classes, own = folded(), _received(sent.value)
         for batch, data, offsets in _texts(batches):
             ratio = own.ratio(cells(data, offsets, classes)) if len(data) else np.zeros(0, np.float32)
             total = np.concatenate([[0], np.cumsum(ratio, dtype=np.float64)])
@@ -208,16 +217,11 @@ BROADCAST_LABELS = 500_000
 CALIBRATION_ROWS = 50_000
 
 
-def train(docs: DataFrame, calibration: DataFrame, calibration_total: int, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """``docs`` (id, text, label) give the counts; null labels add to what both classes share only. ``calibration`` has
-    other labelled documents, ``calibration_total`` in number, of which about ``calibration_rows`` at most are used."""
+def train(docs: DataFrame) -> Model:
+    """Both models from (text, label) rows; null labels add to what the classes share only."""
     ordinary, toxic, anywhere = _counts(docs)
     backoff = shared_backoff(anywhere)
-    model = Model(interpolated(toxic, backoff), interpolated(ordinary, backoff))
-    del ordinary, toxic
-    rows = _ratios(calibration.sample(min(1.0, calibration_rows / max(calibration_total, 1)), seed=5), model).select("label", "ratio").toPandas()
-    slope, intercept = fitted_line(rows["ratio"].to_numpy(), rows["label"].to_numpy().astype(float))
-    return Model(model.toxic, model.ordinary, max(slope, 0.0), intercept)
+    return Model(interpolated(toxic, backoff), interpolated(ordinary, backoff))
 
 
 def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", *, may_learn=None,
@@ -236,12 +240,11 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     adjust = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)) == 0 if calibrates is None else calibrates(F.col("id"))
     known = known.where(learn | adjust)
     joined = docs.join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, "id", "left")
-    model = train(
-        joined.select("id", "text", F.when(learn & ~adjust, F.col("label")).alias("label")),
-        joined.where(adjust & F.col("label").isNotNull()).select("id", "text", "label"), known.where(adjust).count(), calibration_rows,
-    )
-    plain = docs.withColumn("label", F.lit(None).cast("int"))
-    held = (model.slope, model.intercept)
-    return _ratios(plain, model).select(
-        F.col("id").alias(id), (1 / (1 + F.exp(-(F.lit(held[0]) * F.col("ratio") + F.lit(held[1]))))).alias("score")
-    )
+    sent = _sent(docs, train(joined.select("text", F.when(learn & ~adjust, F.col("label")).alias("label"))))
+    share = min(1.0, calibration_rows / max(known.where(adjust).count(), 1))
+    others = joined.where(adjust & F.col("label").isNotNull()).sample(share, seed=5)
+    rows = _ratios(others.select("id", "text", "label"), sent).select("label", "ratio").toPandas().sort_values(["ratio", "label"])
+    slope, intercept = fitted_line(rows["ratio"].to_numpy(), rows["label"].to_numpy().astype(float))
+    x = F.lit(max(slope, 0.0)) * F.col("ratio") + F.lit(intercept)
+    scored = _ratios(docs.withColumn("label", F.lit(None).cast("int")), sent)
+    return scored.select(F.col("id").alias(id), (1 / (1 + F.exp(-x))).alias("score"))
