@@ -3,9 +3,9 @@
 Words are hashed to a fixed number of terms; their inverse document frequencies come from every document. Benchmark
 items are cut into passages, whose TF-IDF rows are decomposed by a randomised SVD that Spark distributes: tasks add up
 A'(A R) for a random R, its orthonormal basis is refined once, and a small matrix gives singular vectors. Documents are
-looked at in overlapping windows of two sizes. A window's cosine with a passage is taken in the latent space; as it
-cannot exceed the share of the window's weight that falls on benchmark terms, windows below the threshold in that share are
-passed over at once. Candidates are confirmed on the words themselves: the longest common subsequence with the whole
+looked at in overlapping windows of two sizes. A window's cosine with a passage is taken in the latent space. It cannot
+exceed the window's weight on the benchmark's rare terms plus its weight on the common ones times the most that these weigh in
+any passage, so windows whose bound is below the threshold are passed over at once. Candidates are confirmed on the words themselves: the longest common subsequence with the whole
 item and, for weaker ones, the item's answer.
 """
 
@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from columnscope.llm.storage import only
 from columnscope.llm.words import Tables, Words, mixed, seeded, table, text_bytes
 
-TERM_BITS = 16
+TERM_BITS = 20
 TERMS = 1 << TERM_BITS
 RANK = 256
 WINDOWS = (16, 32)
-COSINE = 0.4
+COSINE = 0.5
+# The bound is taken on the terms themselves; the latent space, a little coarser, may put a product so much higher.
+SLACK = 0.1
+# A term is common to the benchmark if more than this share of its passages (and more than a few) hold it.
+COMMON, COMMON_LEAST = 0.02, 4
 # A subsequence of this share of the item is a leak by itself; of the lower share, if the answer is found too.
 LEAK, LEAK_WITH_ANSWER = 0.7, 0.5
 SHORT_ITEM, SHORT_LEAK = 8, 0.9
@@ -37,8 +41,12 @@ _NOT_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
 def _tables() -> Tables:
-    """Words here are runs of letters and digits, so that punctuation added to a copy changes nothing."""
+    """Words here are runs of letters and digits, so that punctuation added to a copy changes nothing.
+
+    Case is folded, also of accented Latin letters, whose last bytes in UTF-8 differ by 32.
+    """
     found = Tables(lower=True)
+    found.values[0x80:0x9F] = found.values[0xA0:0xBF]
     found.separator[:] = False
     found.separator[list(_NOT_WORD)] = True
     return found
@@ -60,7 +68,7 @@ def terms(hashes: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((1 + N) / (1 + documents with the term)) of every term, over all documents. Tasks send their sums, 256 KB at most."""
+    """log((1 + N) / (1 + documents with the term)) of every term, over all documents. Tasks send their sums, 4 MB at most."""
     def gather(batches):
         counts, n = np.zeros(TERMS, np.int64), 0
         for _, words in _groups(batches):
@@ -190,6 +198,12 @@ class Index:
     queries: np.ndarray  # a passage's latent coordinates, scaled so that the passage itself has product 1 with them
     item_of: np.ndarray
     items: list  # (id, word hashes, answer hashes)
+    common_term: np.ndarray  # of each row of ``vectors``
+    common_weight: np.ndarray  # share of each passage's length that lies on common terms
+    # passages and weights by row of a rare term: those of row r are at posting_start[r]:posting_start[r + 1]
+    posting_start: np.ndarray
+    posting_passage: np.ndarray
+    posting_weight: np.ndarray
 
     def common(self, item: int, words: list[int]) -> int:
         """Length of the longest common subsequence with an item, bit-parallel over the item's words."""
@@ -216,7 +230,7 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index:
     at, v = singular_vectors(items, idf, rank)
     row_of_term = np.full(TERMS, len(at), np.int32)
     row_of_term[at] = np.arange(len(at))
-    tables, held, queries, item_of = _tables(), [], [], []
+    tables, held, queries, item_of, rows = _tables(), [], [], [], []
     for r in items.select("item", "text", "answer").toLocalIterator():
         words = Words(*text_bytes(pa.array([r["text"]], pa.string())), tables)
         answer = Words(*text_bytes(pa.array([r["answer"]], pa.string())), tables).hashes.tolist() if r["answer"] else []
@@ -232,10 +246,20 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index:
             if norm > 1e-9:
                 queries.append(q / norm)
                 item_of.append(len(held) - 1)
+                rows.append((np.searchsorted(at, t), weight))
     width = v.shape[1] if v.ndim == 2 else 0
+    holders = np.bincount(np.concatenate([r for r, _ in rows]), minlength=len(at) + 1) if rows else np.zeros(len(at) + 1)
+    common = holders > max(COMMON_LEAST, COMMON * len(rows))
+    term_row = np.concatenate([r for r, _ in rows]) if rows else np.zeros(0, np.int64)
+    passage = np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows])
+    value = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
+    order = np.argsort(term_row, kind="stable")
+    order = order[~common[term_row[order]]]
     return Index(
         idf, row_of_term, np.concatenate([v, np.zeros((1, width))]).astype(np.float32),
-        np.array(queries, np.float32).reshape(-1, width), np.array(item_of, np.int64), held,
+        np.array(queries, np.float32).reshape(len(queries), width), np.array(item_of, np.int64), held,
+        common, np.array([np.linalg.norm(w[common[r]]) for r, w in rows], np.float32),
+        np.searchsorted(term_row[order], np.arange(len(at) + 2)), passage[order], value[order],
     )
 
 
@@ -249,6 +273,36 @@ def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, first, np.minimum(first + size, words.bounds[1:][text])
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the range each is of."""
+    n = ends - starts
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n), owner
+
+
+def _reach(index: Index, row, weight, rare_at, first, end, norms, on_common, least: float) -> np.ndarray:
+    """Which windows can reach ``least`` with some passage: their products on its rare terms, plus the most the common ones add."""
+    good = on_common * (index.common_weight.max() if len(index.common_weight) else 0.0) >= least
+    if not len(first) or not len(rare_at):
+        return good
+    which, window = _ranges(np.searchsorted(rare_at, first), np.searchsorted(rare_at, end))
+    token = rare_at[which]
+    posting, nth = _ranges(index.posting_start[row[token]], index.posting_start[row[token] + 1])
+    window = window[nth]
+    passage = index.posting_passage[posting]
+    value = weight[token[nth]] * index.posting_weight[posting]
+    key = window * len(index.common_weight) + passage
+    order = np.argsort(key, kind="stable")
+    if not len(order):
+        return good
+    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    product = np.add.reduceat(value[order], starts)
+    window, passage = window[order][starts], passage[order][starts]
+    enough = product / norms[window] + on_common[window] * index.common_weight[passage] >= least
+    good[window[enough]] = True
+    return good
+
+
 def hits(words: Words, index: Index, cosine: float = COSINE):
     """(text, item, cosine, share of the item in common, answer found, first word) of every leak, the best one a text and item."""
     found = terms(words.hashes)
@@ -256,34 +310,52 @@ def hits(words: Words, index: Index, cosine: float = COSINE):
     row = index.row_of_term[found]
     zero = len(index.vectors) - 1
     energy = weight.astype(np.float64) ** 2
-    total = np.concatenate([[0.0], np.cumsum(energy)])
-    known = np.concatenate([[0.0], np.cumsum(np.where(row < zero, energy, 0.0))])
+    common = index.common_term[row]
+
+    def running(values):
+        return np.concatenate([[0.0], np.cumsum(values)])
+
+    total, rare, often = running(energy), running(np.where((row < zero) & ~common, energy, 0.0)), running(np.where((row < zero) & common, energy, 0.0))
     best: dict[tuple[int, int], tuple] = {}
+    looked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    candidates = []
+    most_common = index.common_weight.max() if len(index.common_weight) else 0.0
+    rare_at = np.flatnonzero((row < zero) & ~common)
     for size in WINDOWS:
         text, first, end = _windows(words, size)
-        near = np.flatnonzero((known[end] - known[first] >= cosine ** 2 * (total[end] - total[first])) & (known[end] > known[first]))
+        norms = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
+        on_rare, on_common = np.sqrt(np.maximum(rare[end] - rare[first], 0)) / norms, np.sqrt(np.maximum(often[end] - often[first], 0)) / norms
+        near = np.flatnonzero(on_rare + on_common * most_common >= cosine)
+        near = near[_reach(index, row, weight, rare_at, first[near], end[near], norms[near], on_common[near], cosine - SLACK)]
         for part in np.array_split(near, -(-len(near) // 512)) if len(near) else ():
             a, b = first[part], end[part]
             n = b - a
             at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             image = np.add.reduceat(index.vectors[row[at]] * weight[at][:, None], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-            norms = np.sqrt(np.maximum(total[b] - total[a], 1e-12))
-            product = (image / norms[:, None]) @ index.queries.T
-            for w, q in zip(*np.nonzero(product >= cosine)):
-                item, t = int(index.item_of[q]), int(text[part[w]])
-                if best.get((t, item), (0, 0.0))[1] >= 1.0:
-                    continue
-                own = index.items[item][1]
-                low = max(words.bounds[t], a[w] - len(own))
-                region = words.hashes[low:min(words.bounds[t + 1], b[w] + len(own))].tolist()
-                share = index.common(item, region) / len(own)
-                answer = _in_order(index.items[item][2], region)
-                if len(own) < SHORT_ITEM:
-                    leak = share >= SHORT_LEAK
-                else:
-                    leak = share >= LEAK or share >= LEAK_WITH_ANSWER and answer
-                if leak and share > best.get((t, item), (0, 0.0))[1]:
-                    best[t, item] = (float(product[w, q]), share, answer, int(a[w] - words.bounds[t]))
+            product = (image / norms[part][:, None]) @ index.queries.T
+            w, q = np.nonzero(product >= cosine)
+            candidates += zip((-product[w, q]).tolist(), text[part][w].tolist(), index.item_of[q].tolist(), a[w].tolist(), b[w].tolist())
+    # best first; a stretch of the text that has been compared with an item is not compared again
+    for product, t, item, a, b in sorted(candidates):
+        if (t, item) in best:
+            continue
+        own = index.items[item][1]
+        start, stop = int(words.bounds[t]), int(words.bounds[t + 1])
+        if any(low <= max(start, a - len(own)) and high >= min(stop, b + len(own)) for low, high in looked.get((t, item), ())):
+            continue
+        low, high = max(start, a - 2 * len(own)), min(stop, b + 2 * len(own))
+        looked.setdefault((t, item), []).append((low, high))
+        region = words.hashes[low:high].tolist()
+        share = index.common(item, region) / len(own)
+        if len(own) < SHORT_ITEM:
+            leak = share >= SHORT_LEAK
+        else:
+            # a long region holds frequent words of any item in some order: only the stretch around the window counts
+            near_by = words.hashes[max(start, a - len(own)):min(stop, b + len(own))].tolist()
+            share = index.common(item, near_by) / len(own) if share >= LEAK_WITH_ANSWER else 0.0
+            leak = share >= LEAK or share >= LEAK_WITH_ANSWER and _in_order(index.items[item][2], near_by)
+        if leak:
+            best[t, item] = (-product, share, _in_order(index.items[item][2], region), a - start)
     return [(t, item, *values) for (t, item), values in best.items()]
 
 
@@ -329,7 +401,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "
 
 
 def _sent(df: DataFrame, index: Index):
-    fields = (index.idf, index.row_of_term, index.vectors, index.queries, index.item_of, index.items)
+    fields = (index.idf, index.row_of_term, index.vectors, index.queries, index.item_of, index.items, index.common_term, index.common_weight, index.posting_start,
+              index.posting_passage, index.posting_weight)
     return df.sparkSession.sparkContext.broadcast(fields)
 
 
