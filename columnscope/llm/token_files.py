@@ -12,8 +12,6 @@ hold them; each row also says where its segment begins in the whole corpus.
 from __future__ import annotations
 
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnscope.llm.storage import only
+from columnscope.llm.storage import only, per_worker
 
 _MAGIC = b"EFTK"
 _HEADER = "<4sBBHQQQQ"  # magic, version, bytes of an id, low bits, documents, ids, bytes of high bits, bytes of low bits
@@ -115,8 +113,7 @@ class Segment:
         return self.ids[self.boundaries[i]:self.boundaries[i + 1]]
 
 
-# One state a worker process: loaded tokenizers, and the ids of words met before, which are forgotten when they are many.
-_STATE = "columnscope_token_state"
+# A worker process keeps the ids of words it has met, and forgets them when they are so many.
 _MOST_WORDS = 1_000_000
 
 
@@ -142,10 +139,7 @@ class Encoder:
 
     @staticmethod
     def of(path: str) -> Encoder:
-        state = sys.modules.setdefault(_STATE, types.ModuleType(_STATE))
-        if path not in state.__dict__:
-            state.__dict__[path] = Encoder(path)
-        return state.__dict__[path]
+        return per_worker("encoder", path, lambda: Encoder(path))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -167,27 +161,30 @@ class Encoder:
             self.words.clear()
         self.words["\n"], self.words["\x01"] = self.line, b""
         new = set().union(*keys).difference(self.words)
-        if new:
-            self._learn(list(new))
+        # a full stop or comma after a letter is cut off before merging, so it adds its own id to the word's
+        ended = [k for k in new if k[-1] in ".," and k[-2:-1].isalpha()]
+        own = new.difference(ended).union(k[:-1] for k in ended).union(("\x01.", "\x01,")).difference(self.words)
+        if own:
+            self._learn(list(own))
+        for k in ended:
+            self.words[k] = self.words[k[:-1]] + self.words["\x01" + k[-1]]
         get = self.words.__getitem__
         return [b"".join(map(get, k)) for k in keys]
 
-    def encode(self, texts: list[str], double) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``kind``; equal texts are encoded once."""
         found: dict[str, bytes] = {}
         plain, other = [], []
         for t in dict.fromkeys(texts):
-            (plain if self.by_word and t and not double(t) else other).append(t)
+            (plain if self.by_word and t and is_chain(t) else other).append(t)
         found.update(zip(plain, self._chains(plain)) if plain else ())
         found.update(zip(other, self._whole(other)) if other else ())
         return [found[t] for t in texts]
 
 
-def _double():
-    r"""Texts that are not a chain of words: two white-space characters in a row, one at an end, or a rare one inside."""
-    import re
-
-    return re.compile(r"\s\s|^\s|\s$|[^\S \n]|[\x00-\x09\x0b-\x1f]").search
+def is_chain(text: str) -> bool:
+    """Whether only single spaces and line breaks part a text's words, and none stands at an end."""
+    return " ".join(text.split()) == text.replace("\n", " ") and "\x01" not in text
 
 
 def _text_groups(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[tuple[list, list[str]]]:
@@ -216,7 +213,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id: str = "doc_id",
     ranges = docs.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").withColumn("range", F.spark_partition_id())
 
     def run(batches):
-        encoder, double = Encoder.of(tokenizer), _double()
+        encoder = Encoder.of(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         step = encoder.kind.itemsize
         names, pieces, total, number, range_id = [], [], 0, 0, 0
@@ -233,7 +230,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id: str = "doc_id",
             arrow = batch.schema.field("id").type
             range_id = batch.column("range")[0].as_py() if batch.num_rows else range_id
             for ids, texts in _text_groups(batch):
-                for name, piece in zip(ids, encoder.encode(texts, double)):
+                for name, piece in zip(ids, encoder.encode(texts)):
                     names.append(name)
                     pieces.append(piece + end)
                     total += len(piece) // step + 1
