@@ -153,6 +153,31 @@ def test_passages(spark, odd_documents, no_documents):
     assert repeats.passages(no_documents).count() == 0
 
 
+def test_equal_passages_by_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    line = [rng.choice(words) for _ in range(9)]
+    shared = [rng.choice(words) for _ in range(56)]
+    # parts of the shared passage stand in documents of lower and of higher ids, so its seeds have other first and last ones
+    parts = [shared[i:i + 22] for i in range(0, 35, 2)]
+    docs = []
+    for i in range(90):
+        own = [rng.choice(words) for _ in range(rng.randint(80, 160))]
+        own[30:30] = ["same"] * 70 if i in (5, 40, 41) else line * 8 if i in (7, 50) else shared if i in (44, 47) else parts[i % len(parts)] if i < 30 or i >= 60 else []
+        docs.append((i, " ".join(own)))
+    holders: dict[tuple, set] = {}
+    for i, text in docs:
+        own = text.split()
+        for a in range(len(own) - 49):
+            holders.setdefault(tuple(own[a:a + 50]), set()).add(i)
+    want = {i for ids in holders.values() if len(ids) > 1 for i in ids}
+    assert want == {5, 7, 40, 41, 44, 47, 50}
+    rows = repeats.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert want <= {r.doc_id for r in rows} | {r.other_doc_id for r in rows}
+    label = {r.doc_id: r.class_id for r in rows} | {r.other_doc_id: r.class_id for r in rows}
+    assert all(len({label[i] for i in ids}) == 1 for ids in holders.values() if len(ids) > 1)
+
+
 def test_passages_of_given_documents(spark):
     rows = entry.queries()["op10_substring_dedup"](spark, "/root/testdata/sf0.001").collect()
     got = {r.doc_id for r in rows} | {r.other_doc_id for r in rows}
