@@ -3,16 +3,16 @@
 Words are hashed to a fixed number of terms; their inverse document frequencies come from every document. Benchmark
 items are cut into passages, whose TF-IDF rows are decomposed by a randomised SVD that Spark distributes: tasks add up
 A'(A R) for a random R, its orthonormal basis is refined once, and a small matrix gives singular vectors. Documents are
-looked at in overlapping windows of two sizes. A window's cosine with a passage is taken in the latent space. It cannot
-exceed the window's weight on the benchmark's rare terms plus its weight on the common ones times the most that these weigh in
-any passage, so windows whose bound is below the threshold are passed over at once. Candidates are confirmed on the words themselves: the longest common subsequence with the whole
+looked at in overlapping windows of two sizes. A window's cosine with a passage is taken in the latent space. The singular
+vectors are orthonormal, so it cannot exceed the length of the window's image, nor the window's weight on the benchmark's terms,
+times the longest query; windows whose bound is below the threshold are passed over, and no others. Candidates are confirmed on the words themselves: the longest common subsequence with the whole
 item and, for weaker ones, the item's answer.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,10 @@ TERM_BITS = 20
 TERMS = 1 << TERM_BITS
 RANK = 256
 WINDOWS = (16, 32)
-COSINE = 0.5
-# The bound is taken on the terms themselves; the latent space, a little coarser, may put a product so much higher.
-SLACK = 0.1
-# A term is common to the benchmark if more than this share of its passages (and more than a few) hold it.
-COMMON, COMMON_LEAST = 0.02, 4
+# Windows start at multiples of so many words; images are summed up by such steps once and shared by the windows.
+STEP = 4
+# Low, as an item whose rarest words are changed keeps little weight but most of its words; what comes of it is confirmed anyhow.
+COSINE = 0.1
 # A subsequence of this share of the item is a leak by itself; of the lower share, if the answer is found too.
 LEAK, LEAK_WITH_ANSWER = 0.7, 0.5
 SHORT_ITEM, SHORT_LEAK = 8, 0.9
@@ -198,23 +197,24 @@ class Index:
     queries: np.ndarray  # a passage's latent coordinates, scaled so that the passage itself has product 1 with them
     item_of: np.ndarray
     items: list  # (id, word hashes, answer hashes)
-    common_term: np.ndarray  # of each row of ``vectors``
-    common_weight: np.ndarray  # share of each passage's length that lies on common terms
-    # passages and weights by row of a rare term: those of row r are at posting_start[r]:posting_start[r + 1]
-    posting_start: np.ndarray
-    posting_passage: np.ndarray
-    posting_weight: np.ndarray
+
+    masks: dict = field(default_factory=dict)  # by item, the places of each word; made where they are needed
 
     def common(self, item: int, words: list[int]) -> int:
-        """Length of the longest common subsequence with an item, bit-parallel over the item's words."""
+        """Length of the longest common subsequence with an item, bit-parallel over the item's words; 0 if too short for any leak."""
         own = self.items[item][1]
-        masks: dict[int, int] = {}
-        for i, h in enumerate(own):
-            masks[h] = masks.get(h, 0) | 1 << i
+        if item not in self.masks:
+            masks = self.masks[item] = {}
+            for i, h in enumerate(own):
+                masks[h] = masks.get(h, 0) | 1 << i
+        masks = self.masks[item]
+        shared = [masks[h] for h in words if h in masks]
+        if len(shared) < LEAK_WITH_ANSWER * len(own):
+            return 0
         full = (1 << len(own)) - 1
         v = full
-        for h in words:
-            u = v & masks.get(h, 0)
+        for mask in shared:
+            u = v & mask
             v = ((v + u) | (v - u)) & full
         return len(own) - v.bit_count()
 
@@ -230,7 +230,7 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index:
     at, v = singular_vectors(items, idf, rank)
     row_of_term = np.full(TERMS, len(at), np.int32)
     row_of_term[at] = np.arange(len(at))
-    tables, held, queries, item_of, rows = _tables(), [], [], [], []
+    tables, held, queries, item_of = _tables(), [], [], []
     for r in items.select("item", "text", "answer").toLocalIterator():
         words = Words(*text_bytes(pa.array([r["text"]], pa.string())), tables)
         answer = Words(*text_bytes(pa.array([r["answer"]], pa.string())), tables).hashes.tolist() if r["answer"] else []
@@ -246,20 +246,10 @@ def build_index(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index:
             if norm > 1e-9:
                 queries.append(q / norm)
                 item_of.append(len(held) - 1)
-                rows.append((np.searchsorted(at, t), weight))
     width = v.shape[1] if v.ndim == 2 else 0
-    holders = np.bincount(np.concatenate([r for r, _ in rows]), minlength=len(at) + 1) if rows else np.zeros(len(at) + 1)
-    common = holders > max(COMMON_LEAST, COMMON * len(rows))
-    term_row = np.concatenate([r for r, _ in rows]) if rows else np.zeros(0, np.int64)
-    passage = np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows])
-    value = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-    order = np.argsort(term_row, kind="stable")
-    order = order[~common[term_row[order]]]
     return Index(
         idf, row_of_term, np.concatenate([v, np.zeros((1, width))]).astype(np.float32),
         np.array(queries, np.float32).reshape(len(queries), width), np.array(item_of, np.int64), held,
-        common, np.array([np.linalg.norm(w[common[r]]) for r, w in rows], np.float32),
-        np.searchsorted(term_row[order], np.arange(len(at) + 2)), passage[order], value[order],
     )
 
 
@@ -273,34 +263,20 @@ def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, first, np.minimum(first + size, words.bounds[1:][text])
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges one after another, and the range each is of."""
-    n = ends - starts
-    owner = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n), owner
-
-
-def _reach(index: Index, row, weight, rare_at, first, end, norms, on_common, least: float) -> np.ndarray:
-    """Which windows can reach ``least`` with some passage: their products on its rare terms, plus the most the common ones add."""
-    good = on_common * (index.common_weight.max() if len(index.common_weight) else 0.0) >= least
-    if not len(first) or not len(rare_at):
-        return good
-    which, window = _ranges(np.searchsorted(rare_at, first), np.searchsorted(rare_at, end))
-    token = rare_at[which]
-    posting, nth = _ranges(index.posting_start[row[token]], index.posting_start[row[token] + 1])
-    window = window[nth]
-    passage = index.posting_passage[posting]
-    value = weight[token[nth]] * index.posting_weight[posting]
-    key = window * len(index.common_weight) + passage
-    order = np.argsort(key, kind="stable")
-    if not len(order):
-        return good
-    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    product = np.add.reduceat(value[order], starts)
-    window, passage = window[order][starts], passage[order][starts]
-    enough = product / norms[window] + on_common[window] * index.common_weight[passage] >= least
-    good[window[enough]] = True
-    return good
+def _images(words: Words, index: Index, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent sums of every step of STEP words, with a row of zeros at the end, and each text's first step."""
+    per = -(-words.counts() // STEP)
+    start = np.concatenate([[0], np.cumsum(per)])
+    out = np.zeros((start[-1] + 1, index.vectors.shape[1]), np.float32)
+    # most words are none of the benchmark's
+    held = np.flatnonzero(row < len(index.vectors) - 1)
+    text = np.searchsorted(words.bounds, held, "right") - 1
+    step = start[text] + (held - words.bounds[text]) // STEP
+    for at, of in zip(*(np.array_split(x, max(1, len(held) // 2048)) for x in (held, step))):
+        if len(at):
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            out[of[first]] += np.add.reduceat(index.vectors[row[at]] * weight[at, None], first, axis=0)
+    return out, start
 
 
 def hits(words: Words, index: Index, cosine: float = COSINE):
@@ -310,29 +286,34 @@ def hits(words: Words, index: Index, cosine: float = COSINE):
     row = index.row_of_term[found]
     zero = len(index.vectors) - 1
     energy = weight.astype(np.float64) ** 2
-    common = index.common_term[row]
 
     def running(values):
         return np.concatenate([[0.0], np.cumsum(values)])
 
-    total, rare, often = running(energy), running(np.where((row < zero) & ~common, energy, 0.0)), running(np.where((row < zero) & common, energy, 0.0))
+    total, known = running(energy), running(np.where(row < zero, energy, 0.0))
     best: dict[tuple[int, int], tuple] = {}
     looked: dict[tuple[int, int], list[tuple[int, int]]] = {}
     candidates = []
-    most_common = index.common_weight.max() if len(index.common_weight) else 0.0
-    rare_at = np.flatnonzero((row < zero) & ~common)
+    if not len(index.queries) or not len(found):
+        return []
+    # the longest query, and a little for rounding
+    most = float(np.linalg.norm(index.queries, axis=1).max()) * 1.0001
+    images, steps = _images(words, index, row, weight)
     for size in WINDOWS:
         text, first, end = _windows(words, size)
         norms = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
-        on_rare, on_common = np.sqrt(np.maximum(rare[end] - rare[first], 0)) / norms, np.sqrt(np.maximum(often[end] - often[first], 0)) / norms
-        near = np.flatnonzero(on_rare + on_common * most_common >= cosine)
-        near = near[_reach(index, row, weight, rare_at, first[near], end[near], norms[near], on_common[near], cosine - SLACK)]
+        near = np.flatnonzero(np.sqrt(np.maximum(known[end] - known[first], 0)) * most >= cosine * norms)
         for part in np.array_split(near, -(-len(near) // 512)) if len(near) else ():
+            step = steps[text[part]] + (first[part] - words.bounds[:-1][text[part]]) // STEP
+            n = -(-(end[part] - first[part]) // STEP)
+            image = images[step]
+            for j in range(1, size // STEP):
+                image += images[np.where(j < n, step + j, len(images) - 1)]
+            image /= norms[part][:, None].astype(np.float32)
+            long = np.einsum("ij,ij->i", image, image) * most ** 2 >= cosine ** 2
+            part, image = part[long], image[long]
             a, b = first[part], end[part]
-            n = b - a
-            at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            image = np.add.reduceat(index.vectors[row[at]] * weight[at][:, None], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-            product = (image / norms[part][:, None]) @ index.queries.T
+            product = image @ index.queries.T
             w, q = np.nonzero(product >= cosine)
             candidates += zip((-product[w, q]).tolist(), text[part][w].tolist(), index.item_of[q].tolist(), a[w].tolist(), b[w].tolist())
     # best first; a stretch of the text that has been compared with an item is not compared again
@@ -401,8 +382,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "
 
 
 def _sent(df: DataFrame, index: Index):
-    fields = (index.idf, index.row_of_term, index.vectors, index.queries, index.item_of, index.items, index.common_term, index.common_weight, index.posting_start,
-              index.posting_passage, index.posting_weight)
+    fields = (index.idf, index.row_of_term, index.vectors, index.queries, index.item_of, index.items)
     return df.sparkSession.sparkContext.broadcast(fields)
 
 

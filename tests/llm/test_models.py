@@ -106,6 +106,28 @@ def test_paraphrases(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 7, 8, 9]
 
 
+def test_items_without_their_rarest_words(spark):
+    rng = random.Random(3)
+    often, rare = [f"often{i}" for i in range(60)], [f"rare{i}" for i in range(4000)]
+    items, docs = [], []
+    for i in range(30):
+        size = rng.randint(20, 55)
+        words = [rng.choice(often) for _ in range(size)]
+        places = rng.sample(range(size), size * 3 // 10)
+        for p in places:
+            words[p] = rng.choice(rare)
+        items.append((i, " ".join(words)))
+        # 25 to 30 % of the words are other ones, so the rest is a subsequence of at least 0.7
+        for p in places[:int(size * (0.25 if i % 2 else 0.3))]:
+            words[p] = f"new{rng.randrange(4000)}"
+        own = [f"own{rng.randrange(3000)}" for _ in range(100)]
+        docs.append((i, " ".join(own[:40] + words + own[40:])))
+    docs += [(100 + i, " ".join(rng.choice(often + rare[:400]) for _ in range(80))) for i in range(300)]
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(i, i) for i in range(30)} <= {(r.doc_id, r.item_id) for r in found}
+    assert all(r.common >= 0.5 for r in found)
+
+
 def test_chain_by_brute_force():
     rng = random.Random(6)
     for _ in range(60):
