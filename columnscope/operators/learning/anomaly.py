@@ -57,6 +57,21 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, max_depth: int) -> l
     return nodes
 
 
+# Copies of a row are numbered in blocks of so many, which are dealt over the tasks.
+COPY_BLOCK = 4096
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``copy``, a number from 1 on among equal ones; no task or array has to hold all copies of a row."""
+    columns = [ref(c) for c in rows.columns]
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    block = F.lit(COPY_BLOCK).cast("long")
+    few = counted.where(F.col("copies") <= block).withColumn("from", F.lit(1).cast("long"))
+    many = counted.where(F.col("copies") > block).withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), block)))
+    pieces = few.unionByName(many.repartition(*columns, "from"))
+    return pieces.select(*columns, F.explode(F.sequence(F.col("from"), F.least(F.col("copies"), F.col("from") + block - 1))).alias("copy"))
+
+
 def _sample(rows: DataFrame, total: int, seed: int) -> DataFrame:
     """``tree, key`` and the features of rows that may belong to a tree's sample, by one rule at every size.
 
@@ -65,10 +80,12 @@ def _sample(rows: DataFrame, total: int, seed: int) -> DataFrame:
     below a bound go on, which twice the sample is expected to meet: fewer than the sample is out of all likelihood.
     """
     columns = [ref(c) for c in rows.columns]
-    copies = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     share = min(1.0, (2 * SAMPLE + 64) / total)
     bound = min(int((2 * share - 1) * 2 ** 63), 2 ** 63 - 1)
-    keyed = copies.withColumn("h", F.xxhash64(F.lit(seed), *columns, F.col("copy")))
+    copy = F.col("copy")
+    # a number that fits is hashed as an int
+    h = F.when(copy <= 2 ** 31 - 1, F.xxhash64(F.lit(seed), *columns, copy.cast("int"))).otherwise(F.xxhash64(F.lit(seed), *columns, copy))
+    keyed = _numbered(rows).withColumn("h", h)
     drawn = F.expr(
         f"filter(transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'key', xxhash64(h, t))), s -> s.key <= cast({bound} as bigint))"
     )

@@ -3,9 +3,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from columnscope.errors import ValidationError
-from columnscope.operators.learning import train
+from columnscope.operators.learning import anomaly, train
 from columnscope.operators.learning.split import allocate, test_quota as quota_for
 from columnscope.operators.learning.supervised import classification_metrics, stratified_split
 
@@ -98,3 +99,15 @@ def test_split_is_exact(spark):
 def test_metrics_from_confusion():
     got = classification_metrics({(0, 0): 8, (0, 1): 2, (1, 0): 1, (1, 1): 9}, 2)
     assert got == {"accuracy": 0.85, "precision": 0.8535, "recall": 0.85, "f1": 0.8496}
+
+
+def test_copies_of_one_row_are_dealt_over_tasks(spark):
+    rows = spark.range(60_000).select(F.lit(1.5).alias("x"), F.lit(2).alias("copies")).unionAll(spark.range(10).select(F.col("id") + 0.25, F.lit(3)))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        drawn = anomaly._sample(rows.withColumnRenamed("copies", "y"), 60_010, 7).where("x = 1.5").select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(key, before)
+    assert drawn > 1
