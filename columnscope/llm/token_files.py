@@ -130,7 +130,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # strings such as an end-of-text mark are ids of their own; texts with one are encoded whole
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
         self.line = self._whole(["\n"])[0]
@@ -176,7 +177,7 @@ class Encoder:
         found: dict[str, bytes] = {}
         plain, other = [], []
         for t in dict.fromkeys(texts):
-            (plain if self.by_word and t and is_chain(t) else other).append(t)
+            (plain if self.by_word and t and is_chain(t) and not any(s in t for s in self.special) else other).append(t)
         found.update(zip(plain, self._chains(plain)) if plain else ())
         found.update(zip(other, self._whole(other)) if other else ())
         return [found[t] for t in texts]

@@ -41,7 +41,6 @@ TEXTS = ["<|endoftext|> a b", "a  b", "\n\na", "a\n\nb c", "it's 'll we 've  ",
 @given(st.lists(st.one_of(st.sampled_from(TEXTS), st.text(st.sampled_from("ab 'sl\n\t é1.\r"), max_size=30)), max_size=6))
 def test_words_encode_as_whole_texts(texts):
     plain = Tokenizer.from_file(PATH) if not hasattr(test_words_encode_as_whole_texts, "t") else test_words_encode_as_whole_texts.t
-    plain.encode_special_tokens = True
     test_words_encode_as_whole_texts.t = plain
     found = token_files.Encoder.of(PATH).encode(texts)
     assert [np.frombuffer(b, "<u2").tolist() for b in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
@@ -49,7 +48,6 @@ def test_words_encode_as_whole_texts(texts):
 
 def expected(rows):
     tokenizer, at, out = Tokenizer.from_file(PATH), 0, []
-    tokenizer.encode_special_tokens = True
     for name, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         out.append((name, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
