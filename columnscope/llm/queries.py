@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnscope.llm import chat, decontamination, jaccard, mixing, quality_classifier, quality_rules, repeats, token_files, toxicity, url_filter
+from columnscope.llm import chat, decontamination, filter_audit, jaccard, mixing, quality_classifier, quality_rules, repeats, token_files, toxicity, url_filter
 from columnscope.llm.storage import materialise, shared_folder
 
 
@@ -95,6 +95,10 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.assess(_table(spark, folder, "documents")).drop("failed_rule")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 # The host as the contract words it; no page of the given tables has a redirect or canonical link, so SQL needs no aliases.
 _OP2_SQL = r"""
 WITH cut AS (
@@ -184,6 +188,40 @@ UNION ALL
 SELECT doc_id, domain, lang, source, n_tokens, whole, least(n_tokens, rest - start)::BIGINT FROM placed WHERE start < rest""")
     return "".join(parts)
 
+_OP11_SQL = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), failed AS (
+    SELECT doc_id, part,
+           (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+           + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text))::INT
+           + 8 * regexp_matches(text, '[#$%&*|]')::INT
+           + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+    FROM words
+), marked AS (
+    SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), by_mask AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed LEFT JOIN marked USING (doc_id) GROUP BY ALL
+), letters (letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+), steps AS (
+    SELECT filter_order, step::INT AS step, bits[step] AS bit, list_sum(bits[1:step - 1])::INT AS before FROM orders, range(1, 6) r(step)
+), filled AS (SELECT filter_order, step, bit, coalesce(before, 0) AS before FROM steps
+), counted AS (
+    SELECT part, filter_order, step, bit,
+           coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+           coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+    FROM by_mask, filled GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM counted"""
 
 ENTRIES = {
     "op1_source_mixing": (op1_source_mixing, _op1_sql()),
@@ -196,4 +234,5 @@ ENTRIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_chat_formatting": (op9_chat_formatting, _OP9_SQL),
     "op10_substring_dedup": (op10_substring_dedup, None),
+    "op11_filter_interaction_audit": (op11_filter_interaction_audit, _OP11_SQL),
 }
