@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnscope.llm import chat, decontamination, filter_audit, jaccard, mixing, quality_classifier, quality_rules, repeats, token_files, toxicity, url_filter
+from columnscope.llm import chat, decontamination, filter_audit, jaccard, mixing, packing, quality_classifier, quality_rules, repeats, spelling, token_files, toxicity, url_filter
 from columnscope.llm.storage import materialise, shared_folder
 
 
@@ -99,6 +99,16 @@ def op11_filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame
     return filter_audit.report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_spelling_variant_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"), slip=199)
+
+
 # The host as the contract words it; no page of the given tables has a redirect or canonical link, so SQL needs no aliases.
 _OP2_SQL = r"""
 WITH cut AS (
@@ -223,6 +233,41 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
 FROM counted"""
 
+# DuckDB has no crc32: its table is made by the rule, and bytes are folded over it.
+_OP13_SQL = r"""
+WITH RECURSIVE bits (i, step, c) AS (
+    SELECT i, 0, i FROM range(256) r(i)
+    UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8
+), crc (c) AS (SELECT list(c ORDER BY i) FROM bits WHERE step = 8
+), runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS bytes FROM runs GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(range(length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT)),
+               lambda h, b: xor(h >> 8, c[(xor(h, b) & 255) + 1])), 4294967295) AS h
+    FROM counted, crc
+), slipped AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cuts AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, 100) r(i) WHERE i <= length(word)
+), pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.rest, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(near_n) AS near_n, arg_min(near, (-near_n, near)) AS near FROM pairs GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), ways (word, root, form) AS (
+    SELECT word, word, form FROM formed
+    UNION ALL SELECT w.word, f.word, f.form FROM ways w JOIN formed f ON f.word = w.form
+)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN ways w ON w.word = f.word AND w.form IS NULL"""
+
 ENTRIES = {
     "op1_source_mixing": (op1_source_mixing, _op1_sql()),
     "op2_url_filters": (op2_url_filters, _OP2_SQL),
@@ -235,4 +280,6 @@ ENTRIES = {
     "op9_chat_formatting": (op9_chat_formatting, _OP9_SQL),
     "op10_substring_dedup": (op10_substring_dedup, None),
     "op11_filter_interaction_audit": (op11_filter_interaction_audit, _OP11_SQL),
+    "op12_best_fit_packing": (op12_best_fit_packing, None),
+    "op13_spelling_variant_grouping": (op13_spelling_variant_grouping, _OP13_SQL),
 }
