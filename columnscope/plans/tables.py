@@ -29,6 +29,31 @@ def _csv(separator, encoding="UTF-8"):
     return run
 
 
+def _with_breaks(spark, folder):
+    """Texts with line breaks, quotes and separators, in one file that several tasks read."""
+    place = _place(spark, "breaks")
+    rows = table(spark, folder, "documents").selectExpr("doc_id", "lang", "text", "n_chars")
+    rows.coalesce(1).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{place}/in")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(256 * 1024))
+    try:
+        ingest(spark, f"{place}/in", f"{place}/out", multi_line=True)
+    finally:
+        spark.conf.set(key, before)
+    return read_table(spark, f"{place}/out").selectExpr("doc_id", "lang", "md5(text) as text_md5", "length(text) as n", "n_chars")
+
+
+def _layouts(spark, folder):
+    """One table in files of different encodings and separators."""
+    place = _place(spark, "layouts")
+    people = table(spark, folder, "customer").selectExpr("c_custkey", "concat('é', c_name) as name", "c_acctbal", "c_custkey % 3 as part")
+    for part, (separator, encoding) in enumerate(((",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "ISO-8859-1"))):
+        people.where(f"part = {part}").drop("part").write.mode("append").options(header=True, sep=separator, encoding=encoding).csv(f"{place}/in")
+    ingest(spark, f"{place}/in", f"{place}/out")
+    return read_table(spark, f"{place}/out").drop(ROW_ID)
+
+
 PART = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
 
 
@@ -77,6 +102,12 @@ ENTRIES = {
     "ingest_csv": (_csv(","), PART),
     "ingest_semicolon": (_csv(";"), PART),
     "ingest_tab": (_csv("\t"), PART),
+    "ingest_quoted_breaks": (
+        _with_breaks,
+        "SELECT doc_id, lang, md5(text) AS text_md5, length(text) AS n, n_chars FROM (SELECT doc_id, lang, n_chars, nullif(text, '') AS text FROM documents)",
+    ),
+    "ingest_latin1": (_csv(",", "ISO-8859-1"), PART),
+    "ingest_mixed_layouts": (_layouts, "SELECT c_custkey, 'é' || c_name AS name, c_acctbal FROM customer"),
     "ingest_row_ids": (
         _row_ids,
         "SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id FROM customer",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 
 from columnscope.errors import UnsupportedFileError, ValidationError
 from columnscope.functions.columns import ROW_ID, normalise_missing, ref
+from columnscope.sources import quoted
 from columnscope.sources.workbook import read_workbooks
 
 # Accepted kinds, size cap, separators in order of preference.
@@ -87,7 +89,7 @@ def layouts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``file, encoding, delimiter, quoted_breaks`` per file.
 
     UTF-8 if every line is valid UTF-8, else Latin-1. A line with an odd number of quotes begins or ends a quoted
-    line break, so such a file is to be read whole instead of line by line.
+    line break, so the records of such a file are not its lines.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value"
@@ -125,16 +127,36 @@ def _with_offsets(tagged: DataFrame) -> DataFrame:
     )
 
 
-def scan_delimited(
-    spark: SparkSession, paths: list[str], delimiter: str, encoding: str = "UTF-8", schema=None, multi_line: bool = False
-) -> DataFrame:
-    reader = spark.read.options(
-        header=True, sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=multi_line,
-        mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, nanValue="NaN", columnPruning=False,
+_CSV = dict(quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, nanValue="NaN")
+
+
+def _inferred(spark: SparkSession, members: list[str], sep: str, encoding: str, records: DataFrame | None) -> T.StructType:
+    """Column names and types by the reader's own rules, over all rows."""
+    reader = spark.read.options(sep=sep, encoding=encoding, quote='"', escape='"', inferSchema=True)
+    if records is None:
+        return reader.option("header", True).csv(members).schema
+    headers = [r["record"] for r in records.where("header").select("record").distinct().limit(2).collect()]
+    if len(headers) > 1:
+        raise ValidationError("The files have different headers.")
+    texts = getattr(records.where("not header").select("record")._jdf, "as")(spark._jvm.Encoders.STRING())
+    kinds = T.StructType.fromJson(json.loads(reader._jreader.csv(texts).schema().json()))
+    # the names come from the header, so that its rules (unnamed and repeated columns) are the reader's too
+    header = getattr(spark.createDataFrame([(h,) for h in headers], "record string")._jdf, "as")(spark._jvm.Encoders.STRING())
+    names = T.StructType.fromJson(json.loads(reader.option("header", True)._jreader.csv(header).schema().json())).names
+    return T.StructType([T.StructField(n, kinds[i].dataType if i < len(kinds) else T.StringType()) for i, n in enumerate(names)])
+
+
+def scan_delimited(spark: SparkSession, paths: list[str], delimiter: str, encoding: str, schema: T.StructType, records: DataFrame | None = None) -> DataFrame:
+    """The rows of files of one layout with the malformed text, and the file, file block and place of each."""
+    full = schema.add(_CORRUPT, "string") if _CORRUPT not in schema.names else schema
+    if records is None:
+        scan = spark.read.options(header=True, sep=delimiter, encoding=encoding, columnPruning=False, **_CSV).schema(full).csv(paths)
+        place = (F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__place"))
+        return scan.select("*", *place)
+    parsed = F.from_csv("record", full.toDDL(), {"sep": delimiter, **_CSV})
+    return records.where("not header").select(parsed.alias("row"), "file", "block", "place").select(
+        "row.*", F.col("file").alias("__file"), F.col("block").alias("__block"), F.col("place").alias("__place")
     )
-    if schema is None:
-        schema = reader.option("inferSchema", True).csv(paths).schema
-    return reader.schema(schema.add(_CORRUPT, "string") if _CORRUPT not in schema.names else schema).csv(paths)
 
 
 def read_delimited(
@@ -154,24 +176,19 @@ def read_delimited(
         groups.setdefault((row["encoding"], delimiter or row["delimiter"], whole), []).append(row["file"])
     if not groups:
         raise ValidationError("Uploaded file is empty.")
-    parts, schema = [], None
+    parts = []
     try:
-        if len(groups) > 1:
-            schema = _common_schema([
-                spark.read.options(header=True, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=whole, inferSchema=True).csv(members).schema
-                for (encoding, sep, whole), members in groups.items()
-            ])
-        for (encoding, sep, whole), members in groups.items():
-            scan = scan_delimited(spark, members, sep, encoding, schema, whole)
-            parts.append(scan.select(
-                "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.lit(sep).alias("__sep")
-            ))
+        records = {key: quoted.records(spark, members, key[1], key[0]) if key[2] else None for key, members in groups.items()}
+        schemas = [_inferred(spark, members, key[1], key[0], records[key]) for key, members in groups.items()]
+        schema = _common_schema(schemas) if len(schemas) > 1 else schemas[0]
+        for key, members in groups.items():
+            parts.append(scan_delimited(spark, members, key[1], key[0], schema, records[key]).withColumn("__sep", F.lit(key[1])))
     except AnalysisException as e:
         raise ValidationError(f"Could not parse CSV: {e}") from e
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
-    names = [c for c in table.columns if c not in (_CORRUPT, "__file", "__block", "__sep")]
+    names = [c for c in table.columns if c not in (_CORRUPT, "__file", "__block", "__place", "__sep")]
     if not names:
         raise ValidationError("No columns detected in file.")
     # A short row is padded with NULLs; a row with more fields than the header is an error.
@@ -179,8 +196,8 @@ def read_delimited(
     wide = ref(_CORRUPT).isNotNull() & (F.length(fields) - F.length(F.replace(fields, F.col("__sep"))) >= len(names))
     table = table.withColumn(_WIDE, F.coalesce(wide, F.lit(False))).drop("__sep")
     if not numbered:
-        return table.drop("__file", "__block", _WIDE)
-    return _with_offsets(table.withColumn("__place", F.monotonically_increasing_id()))
+        return table.drop("__file", "__block", "__place", _WIDE)
+    return _with_offsets(table)
 
 
 @dataclass(frozen=True)
