@@ -3,32 +3,31 @@
 No plan here has a step whose group grows without bound:
 
 * Pearson is one aggregation over (pair, a, b) rows.
-* Spearman ranks each column inside equal-count value ranges and adds the rows in lower ranges; a value that
-  fills a whole range gets its rank from the range counts alone.
-* Kendall splits "both larger" pairs of rows by whether they share fine and coarse ranges of either column;
-  every kind is counted in groups of one fine range of rows, or of a bounded grid of range counts.
+* Spearman and Kendall take ranks from one index of all columns (``ranks.py``): the rows are shuffled twice, as cells and back
+  to rows, however many columns there are.
+* Kendall reads dense ranks as numbers of a few digits and counts pairs by the digits in which they differ first: each kind
+  in grids of bounded size, on cells that are added up before they are shuffled. No pair of rows is formed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from columnscope.errors import ValidationError
-from columnscope.functions.buckets import ValueBuckets, bucket_name
 from columnscope.functions.columns import as_number, ref, require_numeric
-from columnscope.functions.sizing import bucket_target, materialise, shared_scan
+from columnscope.functions.sizing import materialise, shared_scan
+from columnscope.operators.ranks import cells_of, distinct_values, rank_index, ranked_rows
 
 METHODS = ("pearson", "spearman", "kendall")
 STRONG = 0.7
-_SALTS = 64
-_FINE_PER_COARSE = 128
-_MAX_RANK_RANGES = 2048
+# Bits of a rank that make one digit: a grid of pairs has at most 2^20 cells.
+DIGIT_BITS = 10
 
 
 def correlation_columns(df: DataFrame, columns: list[str] | None) -> list[str]:
@@ -70,65 +69,29 @@ def _pearson(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _joint_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct value tuples with their weight ``w``: copies of a row collapse before any sort."""
-    numbers = _numbers(df, names)
-    return numbers.groupBy(*numbers.columns).agg(F.count(F.lit(1)).alias("w"))
-
-
 def _spearman(df: DataFrame, names: list[str]) -> DataFrame:
     width = len(names)
-    columns = [f"c{i}" for i in range(width)]
-    joint = _joint_counts(df, names)
     numbers = _numbers(df, names)
-    buckets = ValueBuckets.fit(numbers, columns, min(_MAX_RANK_RANGES, bucket_target(numbers)))
-    tagged = buckets.assign(joint)
-
-    # A column is ranked once over all rows, and once more per partner column that has missing values.
-    nulls = _numbers(df, names).selectExpr(*[f"count_if({c} is null) as {c}" for c in columns]).first()
+    # A column is ranked once over all rows, and once more over the rows in which a column with gaps is present.
+    nulls = numbers.selectExpr(*[f"count_if(c{i} is null) as c{i}" for i in range(width)]).first()
     gaps = [i for i in range(width) if nulls[i]]
-    masks = {i: [None, *[j for j in gaps if j != i]] for i in range(width)}
-
-    def weight(mask: int | None) -> str:
-        return "w" if mask is None else f"if(c{mask} is null, 0, w)"
-
-    def rank_name(i: int, j: int) -> str:
-        mask = j if j in masks[i] else None
-        return f"r{i}_{'all' if mask is None else mask}"
-
-    all_masks = [None, *gaps]
-    sums = [f"sum({weight(m)}) as m{k}" for k, m in enumerate(all_masks)]
-    cells = ", ".join(f"{i}, {bucket_name(c)}" for i, c in enumerate(columns))
-    totals = (
-        tagged.selectExpr("w", *columns, f"stack({width}, {cells}) as (pos, bucket)")
-        .where("bucket is not null")
-        .groupBy("pos", "bucket")
-        .agg(*[F.expr(s) for s in sums])
-        .collect()  # at most two rows per value range and column
-    )
-    for i, column in enumerate(columns):
-        mine = {row["bucket"]: row for row in totals if row["pos"] == i}
-        span = len(buckets.splits[column]) - 1
-        bucket = f"`{bucket_name(column)}`"
-        single = buckets.is_single(column)
-        spread = F.when(single | F.expr(f"{column} is null"), F.expr(f"pmod(xxhash64({', '.join(columns)}), {_SALTS})"))
-        part = W.partitionBy(F.expr(bucket), "spread")
-        running = part.orderBy(column).rangeBetween(W.unboundedPreceding, W.currentRow)
-        tagged = tagged.withColumn("spread", F.coalesce(spread, F.lit(-1)))
-        for mask in masks[i]:
-            slot = f"m{all_masks.index(mask)}"
-            sizes = np.array([mine[b][slot] if b in mine else 0 for b in range(span)], dtype="int64")
-            before = np.cumsum(sizes) - sizes
-            start = F.expr(f"array({', '.join(f'{v}L' for v in before)})[{bucket}]")
-            whole = F.expr(f"array({', '.join(f'{v}L' for v in sizes)})[{bucket}]")
-            upto = F.sum(F.expr(weight(mask))).over(running)
-            peers = F.sum(F.expr(weight(mask))).over(W.partitionBy(F.expr(bucket), "spread", column))
-            rank = F.when(single, start + (whole + 1) / 2).otherwise(start + upto - (peers - 1) / 2)
-            tagged = tagged.withColumn(rank_name(i, -1 if mask is None else mask), F.when(F.expr(f"{column} is not null"), rank))
-    rows = []
-    for i, j in _pairs(width):
-        rows.append(f"{i}, {j}, if(c{j} is null, null, {rank_name(i, j)}), if(c{i} is null, null, {rank_name(j, i)}), w")
-    long = tagged.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (i, j, a, b, w)")
+    weights = {None: "m", **{g: f"m{g}" for g in gaps}}
+    cells = cells_of(numbers, width, "1L as m", *[f"if(c{g} is null, 0L, 1L) as m{g}" for g in gaps])
+    index = materialise(rank_index(distinct_values(cells, list(weights.values())), list(weights.values())))
+    facts = [f for w in weights.values() for f in (w, f"{w}_below")]
+    rows = ranked_rows(numbers, width, index, "m", facts)
+
+    def of(i: int, j: int) -> str:
+        """Rank of column i over the rows in which j is present too."""
+        return f"r{i}" + (f"_{j}" if j in weights and j != i else "")
+
+    needed = dict.fromkeys((i, j if j in weights and j != i else None) for i, j in _pairs(width) for i, j in ((i, j), (j, i)))
+    needed.update(((i, None), None) for i in range(width))
+    rows = rows.selectExpr("w", *[f"{weights[m]}_below_{i} + ({weights[m]}_{i} + 1) / 2 as {of(i, -1 if m is None else m)}" for i, m in needed])
+    # a rank over the rows in which j is present means nothing in a row without it
+    present = {i: of(i, -1) for i in range(width)}
+    stacked = ", ".join(f"{i}, {j}, if({present[j]} is null, null, {of(i, j)}), if({present[i]} is null, null, {of(j, i)}), w" for i, j in _pairs(width))
+    long = rows.selectExpr(f"stack({len(_pairs(width))}, {stacked}) as (i, j, a, b, w)")
     return (
         long.where("a is not null and b is not null")
         .groupBy("i", "j")
@@ -167,62 +130,71 @@ def count_concordant(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return total
 
 
-def _count_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    found = count_concordant(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-    return pd.DataFrame({"i": pdf["i"].iloc[:1], "j": pdf["j"].iloc[:1], "concordant": [found]})
-
-
-# The seven disjoint kinds of row pairs. ``xc``/``yc`` are coarse ranges, ``xr``/``yr`` fine ones (parts of coarse
-# ones), ``x``/``y`` values. Pairs of a kind share the key and differ in both coordinates; rows are first summed
-# per coordinate pair, and rows whose key is a one-value range are left out, as they cannot differ in it.
-_KINDS = (
-    ("0", "0", "xc", "yc", "true"),
-    ("yc", "0", "xc", "yr", "true"),
-    ("yr", "0", "xc", "y", "not ys"),
-    ("xc", "0", "xr", "yc", "true"),
-    ("xc", "yc", "xr", "yr", "true"),
-    ("xc", "yr", "xr", "y", "not ys"),
-    ("xr", "0", "x", "y", "not xs"),
-)
+def _grid_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Concordant pairs inside every grid of rows (i, j, grid, x, y, w) that come grid by grid; one grid is held at a time, or some small ones."""
+    rest = None
+
+    def counted(rows: pd.DataFrame) -> pa.RecordBatch:
+        out = []
+        for (i, j), own in rows.groupby(["i", "j"], sort=False):
+            # later grids lie to the right and below, so that pairs of different grids are never concordant
+            grid = (own["grid"] != own["grid"].shift()).cumsum().to_numpy()
+            span = 1 << DIGIT_BITS
+            out.append((i, j, count_concordant(grid * span + own["x"].to_numpy(), own["y"].to_numpy() - grid * span, own["w"].to_numpy())))
+        columns = list(zip(*out)) or [()] * 3
+        kinds = (pa.int32(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["i", "j", "concordant"])
+
+    for batch in batches:
+        rows = batch.to_pandas()
+        rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+        key = rows[["i", "j", "grid"]]
+        open_rows = (key == key.iloc[-1]).all(axis=1).to_numpy() if len(rows) else np.zeros(0, bool)
+        yield counted(rows[~open_rows])
+        rest = rows[open_rows]
+    if rest is not None and len(rest):
+        yield counted(rest)
 
 
 def _kendall(df: DataFrame, names: list[str]) -> DataFrame:
-    columns = [f"c{i}" for i in range(len(names))]
-    buckets = ValueBuckets.fit(_numbers(df, names), columns)
-    tagged = buckets.assign(_joint_counts(df, names))
-    for c in columns:
-        tagged = tagged.withColumn(f"{c}__single", F.coalesce(buckets.is_single(c), F.lit(True)))
-    cells = ["c{i}", "c{j}", "c{i}__range", "c{j}__range", "c{i}__single", "c{j}__single", "w"]
+    width = len(names)
+    numbers = _numbers(df, names)
+    index = materialise(rank_index(distinct_values(cells_of(numbers, width, "1L as m"), ["m"]), ["m"]))
+    tops = {r["pos"]: r["top"] for r in index.groupBy("pos").agg(F.max("dense").alias("top")).collect()}
+    rows = ranked_rows(numbers, width, index, "m", ["dense"])
+    pairs = [(i, j) for i, j in _pairs(width) if i < j]
     points = materialise(
-        tagged.selectExpr(_stacked(_pairs(len(names)), cells, "x, y, xr, yr, xs, ys, w0"))
-        .where("x is not null and y is not null")
-        .groupBy("i", "j", "x", "y", "xr", "yr", "xs", "ys")
-        .agg(F.sum("w0").alias("w"))
+        rows.selectExpr(_stacked(pairs, ["dense_{i}", "dense_{j}", "w"], "x, y, w0"))
+        .where("x is not null and y is not null").groupBy("i", "j", "x", "y").agg(F.sum("w0").alias("w"))
     )
-    placed = points.selectExpr("*", f"xr div {_FINE_PER_COARSE} as xc", f"yr div {_FINE_PER_COARSE} as yc")
-    parts = []
-    for kind, (key, second, a, b, keep) in enumerate(_KINDS):
-        view = placed.where(keep).selectExpr(
-            "i", "j", f"{kind} as kind", f"cast({key} as int) as part", f"cast({second} as int) as part2",
-            f"cast({a} as double) as x", f"cast({b} as double) as y", "w",
+    # Ranks are numbers of a few digits. Two points that differ first at digit a of x and digit b of y have the higher digits in
+    # common: for each (a, b) they lie in one grid of at most 2^DIGIT_BITS by 2^DIGIT_BITS cells, and in no other.
+    digits = max(1, -(-max(tops.values(), default=0).bit_length() // DIGIT_BITS))
+    levels = ", ".join(f"named_struct('a', {a}, 'b', {b})" for a in range(digits) for b in range(digits))
+    last = (1 << DIGIT_BITS) - 1
+    grids = (
+        points.selectExpr("i", "j", "x", "y", "w", f"explode(array({levels})) as level")
+        .selectExpr(
+            "i", "j", f"named_struct('a', level.a, 'b', level.b, 'x', shiftright(x, {DIGIT_BITS} * (level.a + 1)), 'y', shiftright(y, {DIGIT_BITS} * (level.b + 1))) as grid",
+            f"shiftright(x, {DIGIT_BITS} * level.a) & {last} as x", f"shiftright(y, {DIGIT_BITS} * level.b) & {last} as y", "w",
         )
-        parts.append(view.groupBy("i", "j", "kind", "part", "part2", "x", "y").agg(F.sum("w").alias("w")))
-    concordant = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("i", "j", "kind", "part", "part2")
-        .applyInPandas(_count_group, "i int, j int, concordant double")
-        .groupBy("i", "j").agg(F.sum("concordant").alias("concordant"))
+        .groupBy("i", "j", "grid", "x", "y").agg(F.sum("w").alias("w"))
+        .repartition("i", "j", "grid").sortWithinPartitions("i", "j", "grid").withColumn("grid", F.xxhash64("grid.a", "grid.b", "grid.x", "grid.y"))
     )
+    concordant = grids.mapInArrow(_grid_counts, "i int, j int, concordant double").groupBy("i", "j").agg(F.sum("concordant").alias("concordant"))
     tie = "sum(cast(w as double) * (w - 1)) / 2"
-    joint = points.groupBy("i", "j").agg(F.expr(f"{tie} as xy"), F.expr("sum(w) as n"))
+    joint_ties = points.groupBy("i", "j").agg(F.expr(f"{tie} as xy"), F.expr("sum(w) as n"))
     ties_x = points.groupBy("i", "j", "x").agg(F.sum("w").alias("w")).groupBy("i", "j").agg(F.expr(f"{tie} as tx"))
     ties_y = points.groupBy("i", "j", "y").agg(F.sum("w").alias("w")).groupBy("i", "j").agg(F.expr(f"{tie} as ty"))
-    facts = joint.join(ties_x, ["i", "j"]).join(ties_y, ["i", "j"]).join(concordant, ["i", "j"], "left")
+    facts = joint_ties.join(ties_x, ["i", "j"]).join(ties_y, ["i", "j"]).join(concordant, ["i", "j"], "left")
     all_pairs = "cast(n as double) * (n - 1) / 2"
     score = f"2 * coalesce(concordant, 0) - ({all_pairs} - tx - ty + xy)"
-    return facts.selectExpr(
+    found = facts.selectExpr(
         "i", "j", _clipped(f"try_divide({score}, sqrt({all_pairs} - tx) * sqrt({all_pairs} - ty))") + " as r"
     )
+    # a column agrees with itself unless it is constant
+    own = [(i, i, 1.0 if tops.get(i, 0) > 0 else None) for i in range(width)]
+    return found.unionAll(df.sparkSession.createDataFrame(own, "i int, j int, r double"))
 
 
 _BY_METHOD = {"spearman": _spearman, "kendall": _kendall}

@@ -3,10 +3,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-import columnscope.functions.buckets as buckets_module
 import columnscope.operators.correlation as correlation_module
 from columnscope.errors import ValidationError
+from columnscope.operators import ranks
 from columnscope.operators.correlation import count_concordant, correlation, pair_coefficients, strong_pairs
 from columnscope.operators.outliers import flag_outliers, outlier_rows, outlier_summary
 
@@ -29,8 +30,9 @@ def tied():
     return pdf
 
 
-@pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
-def test_against_brute_force(spark, tied, method):
+@pytest.mark.parametrize("method, limit", [("pearson", 0), ("spearman", 0), ("kendall", 0), ("spearman", 1 << 30), ("kendall", 1 << 30)])
+def test_against_brute_force(spark, tied, monkeypatch, method, limit):
+    monkeypatch.setattr(ranks, "BROADCAST_BYTES", [limit])
     names = list(tied.columns)
     got = pair_coefficients(spark.createDataFrame(tied), names, method)
     for (i, j), r in got.items():
@@ -46,10 +48,9 @@ def test_against_brute_force(spark, tied, method):
             assert r == pytest.approx(want, abs=1e-9)
 
 
-def test_kendall_with_several_levels_of_ranges(spark, monkeypatch):
-    """Enough ranges that every kind of row pair occurs."""
-    monkeypatch.setattr(correlation_module, "_FINE_PER_COARSE", 4)
-    monkeypatch.setattr(buckets_module, "bucket_target", lambda df: 40)
+def test_kendall_with_several_digits(spark, monkeypatch):
+    """Enough digits that pairs differ first in each of them."""
+    monkeypatch.setattr(correlation_module, "DIGIT_BITS", 2)
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"a": rng.normal(size=900).round(2), "b": rng.integers(0, 200, 900).astype(float)})
     pdf["c"] = pdf["a"] + rng.normal(size=900) * 0.2
@@ -59,6 +60,36 @@ def test_kendall_with_several_levels_of_ranges(spark, monkeypatch):
         assert r == pytest.approx(tau_b(pdf.iloc[:, i].to_numpy(), pdf.iloc[:, j].to_numpy()), abs=1e-9)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_row_shuffles_do_not_grow_with_columns(spark, tied, small, monkeypatch):
+    """No exchange of rows with a small index; else as many for two columns as for five."""
+    monkeypatch.setattr(ranks, "BROADCAST_BYTES", [1 << 30 if small else 0])
+    counts = []
+    for names in (["a", "c"], ["a", "b", "c", "d", "k"]):
+        numbers = correlation_module._numbers(spark.createDataFrame(tied), names)
+        cells = ranks.cells_of(numbers, len(names), "1L as m")
+        index = ranks.materialise(ranks.rank_index(ranks.distinct_values(cells, ["m"]), ["m"]))
+        plan = ranks.ranked_rows(numbers, len(names), index, "m", ["dense"])._jdf.queryExecution().executedPlan().toString()
+        counts.append(plan.count("Exchange hashpartitioning"))
+    assert counts[0] == counts[1] and (counts[0] == 0) == small
+
+
+def test_rank_index(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "HEAVY_SHARE", 0.2)
+    rng = np.random.default_rng(3)
+    cells = [(r, p, float(v)) for r in range(400) for p, v in enumerate((rng.integers(0, 4), round(rng.normal(), 1), 7.0))]
+    df = spark.createDataFrame(cells, "row long, pos int, value double").withColumn("w", F.lit(1).cast("long")).repartition(5)
+    index = ranks.rank_index(ranks.distinct_values(df, ["w"]), ["w"])
+    want = {}
+    for p in range(3):
+        own = sorted(v for _, q, v in cells if q == p)
+        for dense, v in enumerate(sorted(set(own))):
+            want[p, v] = (own.count(v), own.index(v), dense)
+    assert {(r["pos"], r["value"]): (r["w"], r["w_below"], r["dense"]) for r in index.collect()} == want
+    met = ranks.ranked_cells(df.select("row", "pos", "value"), index, "w").collect()
+    assert len(met) == len(cells) and all((r["w"], r["w_below"], r["dense"]) == want[r["pos"], r["value"]] for r in met)
+
+
 def test_concordant_kernel():
     rng = np.random.default_rng(5)
     x, y, w = rng.integers(0, 9, 60), rng.integers(0, 9, 60), rng.integers(1, 4, 60)
