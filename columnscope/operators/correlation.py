@@ -34,7 +34,7 @@ def correlation_columns(df: DataFrame, columns: list[str] | None) -> list[str]:
     names = require_numeric(df, columns)
     if len(names) < 2:
         raise ValidationError(
-            "At least 2 numeric columns are required to compute correlation.",
+            "Correlation takes two numeric columns or more.",
             details={"numeric_columns": names},
         )
     return names
@@ -203,7 +203,7 @@ _BY_METHOD = {"spearman": _spearman, "kendall": _kendall}
 def pair_coefficients(df: DataFrame, names: list[str], method: str = "pearson") -> dict[tuple[int, int], float | None]:
     """Unrounded coefficient of every pair ``i <= j``; one small row per pair."""
     if method not in METHODS:
-        raise ValidationError(f"Unsupported correlation method: {method!r}")
+        raise ValidationError(f"No correlation is called {method!r}.")
     if method == "pearson":  # one pass
         rows = _pearson(df, names).collect()
     else:

@@ -132,9 +132,23 @@ def row_key(df: DataFrame) -> list[Column]:
     return keys
 
 
+def row_digest(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits that stand for a row's content, as two columns. Missing values count by their place; -0.0 equals 0.0."""
+    cells = []
+    for key, name in zip(row_key(df), user_columns(df)):
+        value = F.when(key == 0, F.lit(0)).otherwise(key) if is_fractional(type_of(df, name)) else key
+        cells += [value, key.isNull()]
+    return F.xxhash64(F.lit(0), *cells), F.xxhash64(F.lit(1), *cells)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: total rows and how many repeat an earlier one."""
-    copies = df.groupBy(*row_key(df)).agg(F.count(F.lit(1)).alias("__copies"))
+    """One row: total rows and how many repeat an earlier one.
+
+    Rows are shuffled as digests of 16 bytes, counted in each task before, whatever their width. Among 10^12 rows the odds that
+    any two different ones share a digest are about 1 in 10^15.
+    """
+    first, second = row_digest(df)
+    copies = df.select(first.alias("d1"), second.alias("d2")).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("__copies"))
     return copies.agg(
         F.coalesce(F.sum("__copies"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -176,14 +176,14 @@ def predicate(df: DataFrame, spec: Mapping[str, Any]) -> Column:
     name, op, value = spec["column"], spec["operator"], spec.get("value")
     require_columns(df, [name], "filter")
     if op not in FILTER_OPERATORS:
-        raise ValidationError(f"Unsupported filter operator: {op!r}")
+        raise ValidationError(f"No filter is called {op!r}.")
     if op == "is_null":
         return is_missing(df, name)
     if op == "not_null":
         return ~is_missing(df, name) if is_fractional(type_of(df, name)) else ref(name).isNotNull()
     if op in ("in", "not_in"):
         if not isinstance(value, (list, tuple)):
-            raise ValidationError(f"`{op}` requires a list value.")
+            raise ValidationError(f"The filter {op!r} takes a list.")
         members = _membership(df, name, list(value))
         return members if op == "in" else ~members
     if op == "contains":
@@ -219,10 +219,10 @@ def metric_alias(metric: Mapping[str, Any]) -> str:
 def check_metric(df: DataFrame, metric: Mapping[str, Any]) -> None:
     agg, column = metric["aggregation"], metric.get("column")
     if agg not in AGGREGATIONS:
-        raise ValidationError(f"Unsupported aggregation: {agg!r}")
+        raise ValidationError(f"No aggregation is called {agg!r}.")
     if column is None:
         if agg != "count":
-            raise ValidationError(f"Aggregation {agg!r} requires a column.")
+            raise ValidationError(f"{agg!r} needs the name of a column.")
         return
     require_columns(df, [column], "metric")
     if agg in ("sum", "mean", "median", "std") and not is_numeric(type_of(df, column), include_bool=True):

@@ -44,18 +44,18 @@ def check_words(sql: str) -> str:
     """The statement without its closing semicolon; typed error if it is not a plain SELECT."""
     body = (sql or "").strip()
     if not body:
-        raise ValidationError("SQL query is empty.")
+        raise ValidationError("There is no statement to run.")
     if len(body) > MAX_LENGTH:
-        raise ValidationError(f"SQL query is longer than {MAX_LENGTH} characters.")
+        raise ValidationError(f"A statement may have {MAX_LENGTH} characters at most.")
     body = body.removesuffix(";")
     if ";" in body:
-        raise ValidationError("Only a single SQL statement is allowed (no ';' chaining).")
+        raise ValidationError("One statement at a time, please: a semicolon may only end it.")
     first = _WORD.match(body)
     if first is None or first.group().lower() not in ("select", "with"):
-        raise ValidationError("Only SELECT (or WITH ... SELECT) queries are allowed.")
+        raise ValidationError("Statements must begin with SELECT or WITH.")
     blocked = sorted({w.lower() for w in _WORD.findall(body)} & FORBIDDEN_WORDS)
     if blocked:
-        raise ValidationError(f"Query contains disallowed keyword(s): {blocked}")
+        raise ValidationError(f"These words may not occur in a statement: {blocked}")
     return body
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
+from pyspark.sql import functions as F
+
+from columnscope.functions.columns import as_number
+from columnscope.functions.sizing import shared_folder
 from columnscope.operators.profile import column_stubs, profile
+from columnscope.operators.sketches import approximate_profile
 from columnscope.plans.base import CUSTOMER_WITH_GAPS, customer_with_gaps, rounded, table
+from columnscope.sources.increments import profile_of_files
 
 GAPS = f"({CUSTOMER_WITH_GAPS})"
 LINEITEM_NUMBERS = {
@@ -193,3 +200,87 @@ ENTRIES = {
         STUBS_SQL,
     ),
 }
+
+
+SKETCHED = {"l_partkey": "l_partkey", "l_quantity": "l_quantity", "l_extendedprice": "CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice END", "flag": "nullif(l_returnflag, 'R')"}
+
+
+def _approximate(spark, folder):
+    """Statistics by sketches: what is exact, and whether the estimates keep within their stated errors (three of them for distinct values)."""
+    df = table(spark, folder, "lineitem").selectExpr(*[f"{e} as {c}" for c, e in SKETCHED.items()])
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED]).select(F.stack(F.lit(len(SKETCHED)), *[x for c in SKETCHED for x in (F.lit(c), F.col(c))]).alias("name", "exact"))
+    found = approximate_profile(df).join(exact, "name")
+    middle = found.select(F.max(F.when(F.col("name") == "l_extendedprice", F.col("median"))).alias("middle"))
+    below = df.join(F.broadcast(middle)).agg(F.try_divide(F.count_if(F.col("l_extendedprice") <= F.col("middle")), F.count("l_extendedprice")).alias("share"))
+    return rounded(found.join(F.broadcast(below)).select(
+        "name", "rows", "missing", "count", "mean", "std", "min", "max",
+        (F.abs(F.col("distinct") - F.col("exact")) <= 3 * F.col("distinct_error") * F.col("exact")).alias("distinct_within"),
+        F.when(F.col("name") == "l_extendedprice", F.abs(F.col("share") - 0.5) <= F.col("rank_error") + 0.001).alias("median_within"),
+    ))
+
+
+def _increments(spark, folder):
+    """Orders in three steps: the second profile reads one new file, the third none."""
+    place = f"{shared_folder(spark)}/increments-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    reads = []
+    for part in (0, 1, None):
+        if part is not None:
+            orders.where(f"o_orderkey % 2 = {part}").coalesce(1).write.mode("append").parquet(f"{place}/table")
+        rows, read = profile_of_files(spark, f"{place}/table", f"{place}/states")
+        reads.append(read)
+    return rounded(rows.select("name", "rows", "missing", "mean", "std", "min", "max", F.lit("-".join(map(str, reads))).alias("files_read")))
+
+
+def _all_issues(spark, folder):
+    """A table with every kind of issue, from customers and their numbers."""
+    return profile(table(spark, folder, "customer").selectExpr(
+        "c_custkey as number", "if(c_custkey % 12 = 0, 1e6, c_nationkey) as spread", "if(c_custkey % 40 = 0, 'later', cast(date_add(date'2030-01-01', cast(c_custkey % 500 as int)) as string)) as day",
+        "concat('k', c_custkey % 60) as kind", "'same' as fixed", "if(c_custkey % 3 = 0, c_mktsegment, null) as sparse",
+    ).unionAll(spark.createDataFrame([], "number long, spread double, day string, kind string, fixed string, sparse string")))
+
+
+def _numbers_in_text(spark, folder):
+    """Text that holds numbers is summed over months as numbers; what is none counts as missing."""
+    rows = table(spark, folder, "orders").selectExpr("o_orderdate", "if(o_orderkey % 7 = 0, 'n/a', cast(round(o_totalprice) as string)) as price")
+    return rows.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum(as_number(rows, "price")).alias("total"), F.count(as_number(rows, "price")).alias("n"))
+
+
+ENTRIES |= {
+    "approx_profile": (
+        _approximate,
+        _union(
+            f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count(v) AS missing, {'count(v)' if c != 'flag' else '0'} AS count, "
+            + (f"round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, CAST(min(v) AS DOUBLE) AS min, CAST(max(v) AS DOUBLE) AS max" if c != "flag" else
+               "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max")
+            + f", TRUE AS distinct_within, {'TRUE' if c == 'l_extendedprice' else 'CAST(NULL AS BOOLEAN)'} AS median_within FROM (SELECT {e} AS v FROM lineitem)"
+            for c, e in SKETCHED.items()
+        ),
+    ),
+    "profile_increments": (
+        _increments,
+        _union(
+            f"SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS missing, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
+            f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, '1-1-0' AS files_read FROM orders"
+            for c in ("o_orderkey", "o_custkey", "o_totalprice")
+        ),
+    ),
+    "profile_all_issues": (
+        lambda spark, folder: _all_issues(spark, folder).issues_frame().select("type", "column", "severity"),
+        """SELECT * FROM (VALUES ('likely_identifier', 'number', 'info'), ('extreme_outliers', 'spread', 'medium'), ('invalid_dates', 'day', 'low'),
+        ('high_cardinality_categorical', 'kind', 'low'), ('constant_column', 'fixed', 'low'), ('missing_values', 'sparse', 'high')) t(type, "column", severity)
+        WHERE (SELECT count(*) FROM customer) > 0""",
+    ),
+    "profile_edges": (
+        lambda spark, folder: _all_issues(spark, folder).columns_frame().select("name", "inferred_type", "min_value", "max_value"),
+        """SELECT 'number' AS name, 'integer' AS inferred_type, CAST(min(c_custkey) AS VARCHAR) AS min_value, CAST(max(c_custkey) AS VARCHAR) AS max_value FROM customer
+        UNION ALL SELECT 'spread', 'float', CAST(min(CAST(c_nationkey AS DOUBLE)) FILTER (c_custkey % 12 <> 0) AS VARCHAR), '1000000.0' FROM customer
+        UNION ALL SELECT 'day', 'datetime', strftime(min(d), '%Y-%m-%dT%H:%M:%S'), strftime(max(d), '%Y-%m-%dT%H:%M:%S') FROM (SELECT DATE '2030-01-01' + CAST(c_custkey % 500 AS INT) AS d FROM customer WHERE c_custkey % 40 <> 0)
+        UNION ALL SELECT unnest(['kind', 'fixed', 'sparse']), 'categorical', NULL, NULL""",
+    ),
+    "numbers_in_text": (
+        _numbers_in_text,
+        """SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(round(o_totalprice)) FILTER (o_orderkey % 7 <> 0) AS total, count(*) FILTER (o_orderkey % 7 <> 0) AS n
+        FROM orders GROUP BY 1""",
+    ),
+}

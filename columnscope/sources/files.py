@@ -48,11 +48,11 @@ def check_files(
     files = names.join(listed.select("path", "length"), "path", "left").fillna(0, "length")
     extension = _extension(F.col("path"))
     shown = F.when(extension == "", F.lit("(none)")).otherwise(extension)
-    reason = F.when(~extension.isin(list(extensions)), F.concat(F.lit("Extension ."), shown, F.lit(" is not allowed.")))
-    reason = reason.when(F.col("length") <= 0, F.lit("Uploaded file is empty."))
+    reason = F.when(~extension.isin(list(extensions)), F.concat(F.lit("Files of kind ."), shown, F.lit(" are not taken.")))
+    reason = reason.when(F.col("length") <= 0, F.lit("The file is empty."))
     if max_bytes is not None:
         reason = reason.when(
-            F.col("length") > max_bytes, F.lit(f"File exceeds max upload size of {max_bytes} bytes.")
+            F.col("length") > max_bytes, F.lit(f"The file exceeds the limit of {max_bytes} bytes.")
         )
     return files.select("path", "length", extension.alias("extension"), reason.alias("reason")).withColumn(
         "accepted", F.col("reason").isNull()
@@ -175,7 +175,7 @@ def read_delimited(
         whole = row["quoted_breaks"] if multi_line is None else multi_line
         groups.setdefault((row["encoding"], delimiter or row["delimiter"], whole), []).append(row["file"])
     if not groups:
-        raise ValidationError("Uploaded file is empty.")
+        raise ValidationError("The file is empty.")
     parts = []
     try:
         records = {key: quoted.records(spark, members, key[1], key[0]) if key[2] else None for key, members in groups.items()}
@@ -184,13 +184,13 @@ def read_delimited(
         for key, members in groups.items():
             parts.append(scan_delimited(spark, members, key[1], key[0], schema, records[key]).withColumn("__sep", F.lit(key[1])))
     except AnalysisException as e:
-        raise ValidationError(f"Could not parse CSV: {e}") from e
+        raise ValidationError(f"The files cannot be read as delimited text: {e}") from e
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     names = [c for c in table.columns if c not in (_CORRUPT, "__file", "__block", "__place", "__sep")]
     if not names:
-        raise ValidationError("No columns detected in file.")
+        raise ValidationError("The files have no columns.")
     # A short row is padded with NULLs; a row with more fields than the header is an error.
     fields = F.regexp_replace(ref(_CORRUPT), r'"[^"]*"', "")
     wide = ref(_CORRUPT).isNotNull() & (F.length(fields) - F.length(F.replace(fields, F.col("__sep"))) >= len(names))
@@ -222,7 +222,7 @@ def ingest(
         raise ValidationError(f"No files found at {path!r}.")
     for row in facts:
         if row["reason"]:
-            kind = UnsupportedFileError if row["reason"].startswith("Extension") else ValidationError
+            kind = UnsupportedFileError if row["reason"].startswith("Files of kind") else ValidationError
             raise kind(row["reason"], details={"allowed": sorted(extensions)})
     kinds = {row["extension"] for row in facts}
     if kinds <= set(DELIMITED):
@@ -230,7 +230,7 @@ def ingest(
         # the reader looks at a whole row only if it is not asked for the malformed text alone
         bad = table.agg(F.count_if(F.col(_WIDE)).alias("bad"), F.count(ref(table.columns[0]))).first()["bad"]
         if bad:
-            raise ValidationError(f"Could not parse CSV: {bad} row(s) have more fields than the header.")
+            raise ValidationError(f"{bad} row(s) have more fields than the header.")
     elif kinds <= set(WORKBOOKS):
         table = read_workbooks(spark, path)
     else:

@@ -18,15 +18,15 @@ def where(df, column, operator, value=None):
 
 
 @pytest.mark.parametrize("column, operator, value, count", [
-    ("region", "eq", "West", 3), ("region", "ne", "West", 3), ("revenue", "gt", "100", 2), ("revenue", "gte", 100, 3),
-    ("revenue", "lt", 60.0, 2), ("revenue", "lte", "60", 3), ("product", "in", ["A", "C"], 4), ("product", "in", [1, 2], 0),
-    ("product", "not_in", ["A"], 3), ("product", "contains", "a", 3), ("region", "is_null", None, 0),
-    ("region", "not_null", None, 6), ("units", "gt", 1.5, 4), ("units", "eq", 1.5, 0), ("units", "ne", 1.5, 6),
-    ("units", "lt", 1e30, 6), ("units", "gt", -1e30, 6), ("order_date", "gte", "2025-01-04", 3),
-    ("order_date", "eq", "January 2, 2025", 1), ("region", "eq", 5, 0),
+    ("station", "eq", "Nord", 3), ("station", "ne", "Nord", 6), ("load", "gt", "30", 4), ("load", "gte", 22, 5),
+    ("load", "lt", 12.5, 2), ("load", "lte", "12.5", 3), ("model", "in", ["K2", "K9"], 6), ("model", "in", [7, 9], 0),
+    ("model", "not_in", ["K2"], 5), ("model", "contains", "k7", 3), ("station", "is_null", None, 0),
+    ("station", "not_null", None, 9), ("checks", "gt", 2.5, 5), ("checks", "eq", 2.5, 0), ("checks", "ne", 2.5, 9),
+    ("checks", "lt", 1e30, 9), ("checks", "gt", -1e30, 9), ("read_on", "gte", "2031-03-09", 4),
+    ("read_on", "eq", "March 5, 2031", 1), ("station", "eq", 5, 0),
 ])
-def test_filters(sales, column, operator, value, count):
-    assert where(sales, column, operator, value).count() == count
+def test_filters(meters, column, operator, value, count):
+    assert where(meters, column, operator, value).count() == count
 
 
 def test_missing_values_in_filters(spark):
@@ -44,13 +44,13 @@ def test_missing_values_in_filters(spark):
 
 
 @pytest.mark.parametrize("spec", [
-    dict(column="nope", operator="eq", value=1), dict(column="region", operator="like", value="x"),
-    dict(column="region", operator="in", value="West"), dict(column="region", operator="not_in", value="West"),
-    dict(column="revenue", operator="gt", value="many"), dict(column="order_date", operator="gt", value="someday"),
+    dict(column="absent", operator="eq", value=1), dict(column="model", operator="like", value="K"),
+    dict(column="model", operator="in", value="K2"), dict(column="model", operator="not_in", value="K2"),
+    dict(column="load", operator="gt", value="heavy"), dict(column="read_on", operator="gt", value="one day"),
 ])
-def test_bad_filters(sales, spec):
+def test_bad_filters(meters, spec):
     with pytest.raises(ValidationError):
-        apply_filters(sales, [spec])
+        apply_filters(meters, [spec])
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
@@ -62,26 +62,26 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(id,6)" in plan and "LessThan(x,50.0)" in plan
 
 
-def test_group_and_sort(sales):
+def test_group_and_sort(meters):
     got = rows(run_query(
-        sales, group_by=["region"], metrics=[dict(aggregation="sum", column="revenue", alias="total")], sort=dict(by="total")
+        meters, group_by=["station"], metrics=[dict(aggregation="sum", column="load", alias="power")], sort=dict(by="power")
     ))
-    assert got == [("West", 450.0), ("East", 110.0), ("South", 30.0)]
+    assert got == [("Ost", 103.0), ("Hafen", 64.0), ("Nord", 61.5), ("Süd", 14.5)]
 
 
 @pytest.mark.parametrize("route", ["window", "counted"])
-def test_every_aggregation(sales, request, route):
+def test_every_aggregation(meters, request, route):
     if route == "counted":
         request.getfixturevalue("counted")
-    metrics = [dict(aggregation=a, column="revenue") for a in ("sum", "mean", "median", "min", "max", "std", "count")]
-    got = run_query(sales, group_by=["region"], metrics=metrics).collect()
-    assert [r["region"] for r in got] == ["East", "South", "West"]
-    west = got[2].asDict()
-    assert (west["sum_revenue"], west["mean_revenue"], west["median_revenue"], west["count_revenue"]) == (450, 150, 150, 3)
-    assert (west["min_revenue"], west["max_revenue"], west["std_revenue"]) == (100, 200, 50)
-    assert got[1]["std_revenue"] is None
-    whole = run_query(sales, metrics=[dict(aggregation="mean", column="revenue"), dict(aggregation="median", column="units")])
-    assert rows(whole) == [(590 / 6, 2.0)]
+    metrics = [dict(aggregation=a, column="load") for a in ("count", "std", "max", "min", "median", "mean", "sum")]
+    got = {r["station"]: r.asDict() for r in run_query(meters, group_by=["station"], metrics=metrics).collect()}
+    assert list(got) == ["Hafen", "Nord", "Ost", "Süd"]
+    assert got["Nord"] == dict(
+        station="Nord", count_load=3, std_load=pytest.approx(84 ** 0.5), max_load=30.5, min_load=12.5, median_load=18.5, mean_load=20.5, sum_load=61.5
+    )
+    assert got["Süd"]["std_load"] == 0 and got["Hafen"]["std_load"] is None
+    whole = run_query(meters, metrics=[dict(aggregation="mean", column="load"), dict(aggregation="median", column="checks")])
+    assert rows(whole) == [(27.0, 3.0)]
 
 
 def test_missing_keys_and_sums(spark, counted):
@@ -97,20 +97,20 @@ def test_nan_joins_the_missing_group(spark):
     assert rows(run_query(df, group_by=["k"])) == [(1.0, 1), (None, 2)]
 
 
-def test_default_metric_and_aliases(sales):
-    assert rows(run_query(sales, group_by=["product"])) == [("A", 3), ("B", 2), ("C", 1)]
+def test_default_metric_and_aliases(meters):
+    assert rows(run_query(meters, group_by=["model"])) == [("K2", 4), ("K7", 3), ("K9", 2)]
     with pytest.raises(ValidationError):
-        run_query(sales, group_by=["product"], metrics=[dict(aggregation="count"), dict(aggregation="count")])
+        run_query(meters, group_by=["model"], metrics=[dict(aggregation="count"), dict(aggregation="count")])
 
 
 @pytest.mark.parametrize("request_", [
-    dict(group_by=["nope"]), dict(metrics=[dict(aggregation="sum", column="nope")]),
-    dict(metrics=[dict(aggregation="mode", column="units")]), dict(metrics=[dict(aggregation="sum")]),
-    dict(metrics=[dict(aggregation="mean", column="region")]), dict(group_by=["region"], sort=dict(by="nope")),
+    dict(group_by=["absent"]), dict(metrics=[dict(aggregation="max", column="absent")]),
+    dict(metrics=[dict(aggregation="mode", column="checks")]), dict(metrics=[dict(aggregation="min")]),
+    dict(metrics=[dict(aggregation="sum", column="model")]), dict(group_by=["model"], sort=dict(by="absent")),
 ])
-def test_bad_requests(sales, request_):
+def test_bad_requests(meters, request_):
     with pytest.raises(ValidationError):
-        run_query(sales, **request_)
+        run_query(meters, **request_)
 
 
 def test_caps(spark):
@@ -127,17 +127,17 @@ def test_nulls_sort_last_both_ways(spark):
     assert [r[0] for r in rows(run_query(df, sort=dict(by="n")))] == [2.0, 1.0, None]
 
 
-def test_preview(sample):
-    assert rows(preview_info(sample, page_size=4)) == [(1, 4, 10, 3)]
-    assert search_rows(sample, "west").count() == 3
-    assert preview(sample, page_size=1, sort="revenue", sort_dir="desc").first()["order_id"] == 1003
-    assert [r["order_id"] for r in preview(sample, page=3, page_size=4).collect()] == [1009, 1010]
-    assert preview(sample, sort="nope").count() == 10
+def test_preview(boats):
+    assert rows(preview_info(boats, page_size=5)) == [(1, 5, 14, 3)]
+    assert search_rows(boats, "LABOE").count() == 3 and search_rows(boats, "9.3").count() == 3
+    assert preview(boats, page_size=1, sort="length", sort_dir="desc").first()["hull"] == 508
+    assert [r["hull"] for r in preview(boats, page=3, page_size=5).collect()] == [511, 512, 513, 514]
+    assert preview(boats, sort="absent").count() == 14
 
 
-def test_results_do_not_depend_on_partitioning(spark, sales):
-    request = dict(group_by=["region"], metrics=[dict(aggregation="median", column="revenue"), dict(aggregation="count")])
-    assert rows(run_query(sales.repartition(1), **request)) == rows(run_query(sales.repartition(6), **request))
+def test_results_do_not_depend_on_partitioning(meters):
+    request = dict(group_by=["station"], metrics=[dict(aggregation="median", column="load"), dict(aggregation="count")])
+    assert rows(run_query(meters.repartition(1), **request)) == rows(run_query(meters.repartition(6), **request))
 
 
 def test_trim_arrays(spark):

@@ -126,33 +126,33 @@ def test_json_records(spark):
     assert json_records(df).first()["json"] == '{"a":null,"b":null,"c":1.5,"t":"2025-01-02T03:04:05","n":null}'
 
 
-def test_result_log_and_profile_cache(spark, sales, tmp_path):
+def test_result_log_and_profile_cache(spark, meters, tmp_path):
     log = str(tmp_path / "log")
-    append_result(log, "s1", "table", {"q": 1}, run_query(sales, group_by=["region"], sort=dict(by="count")))
-    append_result(log, "s1", "sql", {"q": 2}, sales.limit(1))
-    append_result(log, "s2", "sql", {}, sales.limit(1))
+    append_result(log, "s1", "table", {"q": 1}, run_query(meters, group_by=["model"], sort=dict(by="count")))
+    append_result(log, "s1", "sql", {"q": 2}, meters.limit(1))
+    append_result(log, "s2", "sql", {}, meters.limit(1))
     got = session_results(spark, log, "s1").collect()
-    assert [r["kind"] for r in got] == ["table"] * 3 + ["sql"] and got[0]["result"] == '{"region":"West","count":3}'
+    assert [r["kind"] for r in got] == ["table"] * 3 + ["sql"] and got[0]["result"] == '{"model":"K2","count":4}'
     with pytest.raises(ValidationError):
-        append_result(log, "s1", "poem", {}, sales)
+        append_result(log, "s1", "poem", {}, meters)
 
     cache = str(tmp_path / "profiles")
-    first, hit = cached_profile(sales, cache, "sales")
-    again, hit_again = cached_profile(sales, cache, "sales")
+    first, hit = cached_profile(meters, cache, "meters")
+    again, hit_again = cached_profile(meters, cache, "meters")
     assert (hit, hit_again) == (False, True) and again.columns == first.columns and again.summary == first.summary
-    other, hit = cached_profile(sales.limit(2), cache, "sales", refresh=True)
-    assert not hit and cached_profile(sales, cache, "sales")[0].summary["row_count"] == 2
+    other, hit = cached_profile(meters.limit(2), cache, "meters", refresh=True)
+    assert not hit and cached_profile(meters, cache, "meters")[0].summary["row_count"] == 2
 
 
-def test_report(spark, sample, tmp_path):
+def test_report(spark, boats, tmp_path):
     talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "old"), (2, 0, "user", "q"), (2, 1, "assistant", "new"), (2, 2, "tool", "t")], "conv_id long, turn long, role string, text string")
-    got = report(sample, "sample.csv", 512, talk)
+    got = report(boats, "boats.csv", 640, talk)
     row = got.first()
-    assert row["assistant_message"] == "new" and row["summary"]["quality"]["overall"] == 90
+    assert row["assistant_message"] == "new" and row["summary"]["quality"]["overall"] == 86
     assert [c["kind"] for c in row["charts"]] == ["histogram", "bar", "line", "heatmap"]
-    assert row["anomalies"][0]["outlier_count"] == 4 and len(row["anomalies"][0]["sample_rows"]) == 4
-    assert row["executive_summary"].startswith("sample.csv - Rows: 10, columns: 6, bytes: 512, quality: 90 of 100")
-    assert len(row["recommendations"]) == 2
+    assert row["anomalies"][0]["outlier_count"] == 1 and len(row["anomalies"][0]["sample_rows"]) == 1
+    assert row["executive_summary"].startswith("boats.csv - Rows: 14, columns: 6, bytes: 640, quality: 86 of 100")
+    assert len(row["recommendations"]) == 3
     write_report(got, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 1
     clean = profile(spark.createDataFrame(pd.DataFrame({"g": ["a", "b"] * 10, "v": [1.0, 2.0, 3.0, 4.0] * 5, "i": range(20)})))
