@@ -157,5 +157,5 @@ def test_report(spark, boats, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 1
     clean = profile(spark.createDataFrame(pd.DataFrame({"g": ["a", "b"] * 10, "v": [1.0, 2.0, 3.0, 4.0] * 5, "i": range(20)})))
     assert recommendation_list(clean)[0].startswith("Nothing needs to be done")
-    alone = report(sample, "s", messages=talk.where("role = 'user'")).first()
+    alone = report(boats, "b", messages=talk.where("role = 'user'")).first()
     assert alone["assistant_message"] is None
