@@ -1,22 +1,35 @@
-"""K-Means over standardised numeric features."""
+"""K-Means over standardised numeric features: all starts go through the same passes over the rows.
+
+The starts are seeded (k-means++) on one bounded sample. In every pass each task adds up, for every start at once, the rows
+that are nearest to each centre, so that a pass sends one row for each start and cluster to a shuffle and as many to the
+driver, whatever the table's size. A start that no longer moves is not looked at again.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnscope.errors import ValidationError
 from columnscope.functions.columns import as_number, is_numeric, type_of
+from columnscope.functions.sizing import kept, spread
 from columnscope.operators.learning.prepare import MIN_ROWS, check_features
 from columnscope.operators.learning.result import Trained
 
 MAX_CLUSTERS = 20
 STARTS = 10
+MAX_PASSES = 100
+# A start has settled once its centres move less than this share of the features' spread (their variance is 1).
+TOLERANCE = 1e-4
+SEED_ROWS = 8192
+SILHOUETTE_ROWS = 1024
+SILHOUETTES = ("euclidean", "squared")
 
 
 def numeric_features(df: DataFrame, features: list[str], what: str) -> DataFrame:
@@ -24,38 +37,147 @@ def numeric_features(df: DataFrame, features: list[str], what: str) -> DataFrame
     check_features(df, features)
     bad = [f for f in features if not is_numeric(type_of(df, f), include_bool=True)]
     if bad:
-        raise ValidationError(f"{what} requires numeric columns; not numeric: {bad}")
+        raise ValidationError(f"{what} works on numbers; these features hold none: {', '.join(bad)}")
     return df.select(*[as_number(df, f).alias(f"f{i}") for i, f in enumerate(features)]).dropna()
 
 
-def train_clustering(df: DataFrame, features: list[str], n_clusters: int = 3, seed: int = 42) -> Trained:
-    rows = numeric_features(df, features, "Clustering")
-    total = rows.count()
-    if total < MIN_ROWS:
-        raise ValidationError(f"Not enough rows to cluster: {total} found, at least {MIN_ROWS} required.")
-    most = min(MAX_CLUSTERS, total // 2)
-    if not 2 <= n_clusters <= most:
-        raise ValidationError(f"n_clusters must be between 2 and {most} for {total} rows.")
-
-    assembler = VectorAssembler(inputCols=rows.columns, outputCol="raw")
-    assembled = assembler.transform(rows).select("raw")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(assembled)
-    # Ten starts with many iterations each read the same narrow vectors.
-    vectors = scaler.transform(assembled).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        models = [KMeans(k=n_clusters, seed=seed + i).fit(vectors) for i in range(STARTS)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        assigned = best.transform(vectors)
-        sizes = {r["prediction"]: r["n"] for r in assigned.groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).collect()}
-        silhouette = round(ClusteringEvaluator().evaluate(assigned), 4) if len(sizes) > 1 else None
-    finally:
-        vectors.unpersist()
-    mean, std = scaler.mean.toArray(), scaler.std.toArray()
+def _sample(rows: DataFrame, total: int, most: int, seed: int) -> np.ndarray:
+    """About ``most`` rows, or all if there are no more."""
+    picked = rows if total <= most else rows.where(F.rand(seed) < most / total)
+    found = picked.limit(2 * most).toPandas().to_numpy(float)
+    return found if len(found) else rows.limit(most).toPandas().to_numpy(float)
+
+
+def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of points (rows) to centres (columns)."""
+    return np.maximum((points ** 2).sum(1)[:, None] + (centres ** 2).sum(1)[None, :] - 2 * points @ centres.T, 0)
+
+
+def seeded_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each next centre is a sample row, drawn in proportion to its squared distance to those before."""
+    centres = [sample[rng.integers(len(sample))]]
+    nearest = ((sample - centres[0]) ** 2).sum(1)
+    while len(centres) < k:
+        total = nearest.sum()
+        at = rng.choice(len(sample), p=nearest / total) if total > 0 else rng.integers(len(sample))
+        centres.append(sample[at])
+        nearest = np.minimum(nearest, ((sample - centres[-1]) ** 2).sum(1))
+    return np.array(centres)
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], mean: np.ndarray, scale: np.ndarray) -> Iterator[np.ndarray]:
+    for batch in batches:
+        if batch.num_rows:
+            yield (np.column_stack([c.to_numpy() for c in batch.columns]) - mean) / scale
+
+
+def _pass(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each start: rows and sums of coordinates of each cluster, and the sum of squared distances to the nearest centre."""
+    starts, width = list(centres), len(mean)
+    sent = rows.sparkSession.sparkContext.broadcast(np.vstack([centres[s] for s in starts]))
+    k = len(centres[starts[0]])
+
+    def added(batches):
+        sizes, sums, costs = np.zeros(k * len(starts)), np.zeros((k * len(starts), width)), np.zeros(k * len(starts))
+        for points in _matrices(batches, mean, scale):
+            away = _squared(points, sent.value)
+            for at in range(0, k * len(starts), k):
+                own = away[:, at:at + k]
+                label = own.argmin(1)
+                sizes[at:at + k] += np.bincount(label, minlength=k)
+                costs[at:at + k] += np.bincount(label, own[np.arange(len(label)), label], minlength=k)
+                for j in range(width):
+                    sums[at:at + k, j] += np.bincount(label, points[:, j], minlength=k)
+        columns = [pa.array(np.arange(k * len(starts))), pa.array(sizes), pa.array(costs), *[pa.array(sums[:, j]) for j in range(width)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "size", "cost", *[f"s{j}" for j in range(width)]])
+
+    schema = "slot long, size double, cost double, " + ", ".join(f"s{j} double" for j in range(width))
+    totals = rows.mapInArrow(added, schema).groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("size", "cost", *[f"s{j}" for j in range(width)])])
+    found = np.array(sorted(tuple(r) for r in totals.collect()))  # one row for each start and cluster
+    return {s: (found[i * k:(i + 1) * k, 1], found[i * k:(i + 1) * k, 3:], float(found[i * k:(i + 1) * k, 2].sum())) for i, s in enumerate(starts)}
+
+
+def _silhouette(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, centres: np.ndarray, sizes: np.ndarray, sample: np.ndarray, squared: bool) -> float:
+    """Mean silhouette of the sample rows, each compared with every row of the table."""
+    k = len(centres)
+    sent = rows.sparkSession.sparkContext.broadcast((sample, centres))
+
+    def added(batches):
+        asked, middle = sent.value
+        totals = np.zeros((len(asked), k))
+        for points in _matrices(batches, mean, scale):
+            for at in range(0, len(points), 1024):
+                part = points[at:at + 1024]
+                away = _squared(part, asked)
+                label = np.eye(k)[_squared(part, middle).argmin(1)]
+                totals += (away if squared else np.sqrt(away)).T @ label
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(totals.size)), pa.array(totals.ravel())], names=["slot", "total"])
+
+    found = rows.mapInArrow(added, "slot long, total double").groupBy("slot").agg(F.sum("total").alias("total")).orderBy("slot").toPandas()
+    totals = found["total"].to_numpy().reshape(len(sample), k)
+    own = _squared(sample, centres).argmin(1)
+    here = np.arange(len(sample))
+    inside = totals[here, own] / np.maximum(sizes[own] - 1, 1)
+    others = totals / np.maximum(sizes, 1)
+    others[here, own] = np.inf
+    others[:, sizes == 0] = np.inf
+    nearest = others.min(1)
+    widest = np.maximum(inside, nearest)
+    score = np.where((sizes[own] > 1) & (widest > 0), (nearest - inside) / np.where(widest > 0, widest, 1), 0.0)
+    return float(score.mean())
+
+
+def _assigner(width: int, mean: np.ndarray, scale: np.ndarray, centres: np.ndarray) -> SQLTransformer:
+    """Nearest centre of columns f0.. as a stage that any table with them can go through."""
+    away = [" + ".join(f"pow((f{j} - {mean[j].item()!r}d) / {scale[j].item()!r}d - {c[j].item()!r}d, 2)" for j in range(width)) for c in centres]
+    distances = f"array({', '.join(away)})"
+    return SQLTransformer(statement=f"SELECT *, CAST(array_position({distances}, array_min({distances})) - 1 AS INT) AS prediction FROM __THIS__")
+
+
+def train_clustering(
+    df: DataFrame, features: list[str], n_clusters: int = 3, seed: int = 42, *, silhouette: str = "euclidean", silhouette_rows: int = SILHOUETTE_ROWS
+) -> Trained:
+    """The best of ten starts. The silhouette is that of about ``silhouette_rows`` rows against all rows, which are all rows where there are
+    no more, by plain or squared distances."""
+    if silhouette not in SILHOUETTES:
+        raise ValidationError(f"No silhouette is called {silhouette!r}; there are {', '.join(SILHOUETTES)}.")
+    with kept(spread(numeric_features(df, features, "Clustering"))) as rows:
+        width = len(features)
+        moments = [f(f"f{i}") for i in range(width) for f in (F.avg, F.stddev_pop)]
+        total, *facts = rows.agg(F.count(F.lit(1)), *moments).first()
+        if total < MIN_ROWS:
+            raise ValidationError(f"Clustering takes {MIN_ROWS} complete rows or more; there are {total}.")
+        most = min(MAX_CLUSTERS, total // 2)
+        if not 2 <= n_clusters <= most:
+            raise ValidationError(f"With {total} rows there can be 2 to {most} clusters, not {n_clusters}.")
+        mean, scale = np.array(facts[::2]), np.array(facts[1::2])
+        scale[scale == 0] = 1.0
+        sample = (_sample(rows, total, SEED_ROWS, seed) - mean) / scale
+        rng = np.random.default_rng(seed)
+        centres = {s: seeded_centres(sample, n_clusters, rng) for s in range(STARTS)}
+        moving = set(centres)
+        for _ in range(MAX_PASSES):
+            if not moving:
+                break
+            for s, (sizes, sums, _) in _pass(rows, mean, scale, {s: centres[s] for s in sorted(moving)}).items():
+                # a cluster that has lost all rows keeps its centre
+                after = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres[s])
+                if ((after - centres[s]) ** 2).sum() <= TOLERANCE * width:
+                    moving.discard(s)
+                centres[s] = after
+        ended = _pass(rows, mean, scale, centres)
+        best = min(ended, key=lambda s: (ended[s][2], s))
+        order = np.lexsort(centres[best].T[::-1])
+        middle, sizes = centres[best][order], ended[best][0][order]
+        score = None
+        if (sizes > 0).sum() > 1:
+            asked = (_sample(rows, total, silhouette_rows, seed + 1) - mean) / scale
+            score = round(_silhouette(rows, mean, scale, middle, sizes, asked, silhouette == "squared"), 4)
     return Trained(
         df.sparkSession, "clustering", "kmeans", features,
-        metrics={"silhouette_score": silhouette},
-        cluster_sizes={k: sizes.get(k, 0) for k in range(n_clusters)},
-        centroids=[[float(v) for v in center * std + mean] for center in best.clusterCenters()],
+        metrics={"silhouette_score": score},
+        cluster_sizes={i: int(n) for i, n in enumerate(sizes)},
+        centroids=(middle * scale + mean).tolist(),
         rows_used=total,
-        model=PipelineModel([assembler, scaler, best]),
+        model=PipelineModel([_assigner(width, mean, scale, middle)]),
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from columnscope.errors import ValidationError
-from columnscope.operators.learning import anomaly, train
+from columnscope.operators.learning import anomaly, clustering, train
 from columnscope.operators.learning.split import allocate, test_quota as quota_for
 from columnscope.operators.learning.supervised import classification_metrics, stratified_split
 
@@ -65,12 +65,53 @@ def test_too_little_data(spark):
             train(df, "classification", ["x"], "y")
 
 
+def silhouette(points, labels, squared=False):
+    away = np.sqrt(((points[:, None] - points[None, :]) ** 2).sum(2))
+    away = away ** 2 if squared else away
+    out = []
+    for i, own in enumerate(labels):
+        nearest = min(away[i, labels == c].mean() for c in set(labels) if c != own)
+        inside = away[i, labels == own].sum() / max((labels == own).sum() - 1, 1)
+        out.append((nearest - inside) / max(inside, nearest) if (labels == own).sum() > 1 else 0)
+    return np.mean(out)
+
+
 def test_clustering(spark):
     rng = np.random.default_rng(1)
-    points = np.vstack([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 10])
-    got = train(spark.createDataFrame(pd.DataFrame(points, columns=["a", "b"])), "clustering", ["a", "b"], n_clusters=2)
-    assert got.metrics["silhouette_score"] > 0.8 and got.cluster_sizes == {0: 30, 1: 30}
-    assert sorted(round(c[0]) for c in got.centroids) == [0, 10]
+    points = np.vstack([rng.normal(size=(40, 2)), rng.normal(size=(25, 2)) + 9, rng.normal(size=(15, 2)) * 0.5 + [9, -9]])
+    df = spark.createDataFrame(pd.DataFrame(points, columns=["a", "b"])).repartition(4)
+    got = train(df, "clustering", ["a", "b"], n_clusters=3)
+    assert sorted(got.cluster_sizes.values()) == [15, 25, 40]
+    want = [points[:40].mean(0), points[65:].mean(0), points[40:65].mean(0)]
+    assert np.allclose(sorted(got.centroids), sorted(w.tolist() for w in want), atol=1e-6)
+    labels = np.repeat([0, 1, 2], [40, 25, 15])
+    scaled = (points - points.mean(0)) / points.std(0)
+    assert got.metrics["silhouette_score"] == pytest.approx(silhouette(scaled, labels), abs=1e-4)
+    squared = clustering.train_clustering(df, ["a", "b"], 3, silhouette="squared")
+    assert squared.metrics["silhouette_score"] == pytest.approx(silhouette(scaled, labels, True), abs=1e-4)
+    named = got.model.transform(spark.createDataFrame(pd.DataFrame(points, columns=["f0", "f1"]))).toPandas()["prediction"].to_numpy()
+    assert len(set(zip(named, labels))) == 3
+    with pytest.raises(ValidationError):
+        clustering.train_clustering(df, ["a", "b"], 3, silhouette="cosine")
+
+
+def test_all_starts_share_their_passes(spark, monkeypatch):
+    """As many jobs over the rows as the slowest start takes passes, not the sum over starts."""
+    passes = []
+    real = clustering._pass
+
+    def noted(rows, mean, scale, centres):
+        passes.append(len(centres))
+        return real(rows, mean, scale, centres)
+
+    monkeypatch.setattr(clustering, "_pass", noted)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(size=500), "c": 1.0}))
+    got = train(df, "clustering", ["a", "c"], n_clusters=4)
+    assert passes[0] == passes[-1] == clustering.STARTS and sorted(passes[:-1], reverse=True) == passes[:-1]
+    assert sum(got.cluster_sizes.values()) == 500 and all(c[1] == 1.0 for c in got.centroids)
+    same = train(spark.createDataFrame([(1.0,)] * 12, "a double"), "clustering", ["a"], n_clusters=2)
+    assert sum(same.cluster_sizes.values()) == 12 and same.metrics["silhouette_score"] is None
 
 
 def test_anomalies(spark):
