@@ -119,7 +119,9 @@ def _scorer(forest: pd.DataFrame, normal: float):
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            points = np.column_stack([s.to_numpy(dtype="float64") for s in batch])
+            # one feature arrives by itself, several as a tuple
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            points = np.column_stack([s.to_numpy(dtype="float64") for s in columns])
             index, depths = np.arange(len(points)), np.zeros(len(points))
             for tree in trees:
                 at = np.zeros(len(points), dtype=np.int64)
@@ -138,11 +140,11 @@ def _scorer(forest: pd.DataFrame, normal: float):
 def detect_anomalies(df: DataFrame, features: list[str], contamination: float = 0.05, seed: int = 42) -> Trained:
     """Share ``contamination`` of the rows with the lowest scores, and the 20 most anomalous full rows."""
     if not 0 < contamination <= 0.5:
-        raise ValidationError("contamination must be in (0, 0.5].")
+        raise ValidationError("The share of anomalies lies above 0 and reaches 0.5 at most.")
     rows = numeric_features(df, features, "Anomaly detection")
     total = rows.count()
     if total < MIN_ROWS:
-        raise ValidationError(f"Not enough rows to run: {total} found, at least {MIN_ROWS} required.")
+        raise ValidationError(f"Finding anomalies takes {MIN_ROWS} complete rows or more; there are {total}.")
     forest = fit_forest(rows, total, seed)
     normal = mean_depth(min(SAMPLE, total)) or 1.0
     score = _scorer(forest, normal)

@@ -122,6 +122,11 @@ def test_anomalies(spark):
     assert all(r["a"] > 8 for r in got.sample_rows.collect())
 
 
+def test_anomalies_of_one_feature(spark):
+    got = train(spark.createDataFrame([(float(i % 10),) for i in range(95)] + [(500.0 + i,) for i in range(5)], "a double"), "anomaly_detection", ["a"])
+    assert got.metrics["anomaly_count"] <= 5 and all(r["a"] >= 500 for r in got.sample_rows.collect())
+
+
 def test_split_is_exact(spark):
     assert allocate([3, 3, 4], 5) == [2, 1, 2] and quota_for({"a": 50, "b": 50}, 0.2) == {"a": 10, "b": 10}
     df = spark.createDataFrame(pd.DataFrame({"t": ["a"] * 900 + ["b"] * 101, "x": range(1001)}))
