@@ -34,6 +34,7 @@ from columnscope.functions.columns import (
 )
 from columnscope.functions.quantiles import grouped_quantiles, join_same
 from columnscope.functions.scalar import contains_ignore_case
+from columnscope.operators import pages
 
 # The names accepted in requests and the row limits.
 AGGREGATIONS = ("sum", "mean", "median", "count", "min", "max", "std")
@@ -404,7 +405,11 @@ def preview(
         # Row numbers are dense: the page is a range the Parquet reader can skip to, however deep it is.
         return df.where(ref(ROW_ID).between(start, start + page_size - 1)).orderBy(ref(ROW_ID))
     rows = search_rows(df, search)
-    order = _sorted_by(rows, sort, "desc" if sort_dir == "desc" else "asc") if sort in df.columns else row_order(rows)
+    falling = sort_dir == "desc"
+    order = _sorted_by(rows, sort, "desc" if falling else "asc") if sort in df.columns else row_order(rows)
+    if start > pages.SHALLOW:
+        ties = [ROW_ID] if ROW_ID in df.columns else [c for c in orderable(df) if c != sort]
+        rows, start = pages.skipped(rows, [*([(sort, falling)] if sort in df.columns else []), *((c, False) for c in ties)], start)
     return rows.orderBy(*order).offset(start).limit(page_size)
 
 

@@ -112,6 +112,18 @@ ENTRIES = {
         "SELECT * FROM part WHERE contains(lower(p_name), 'economy') OR contains(lower(p_brand), 'economy') "
         "OR contains(lower(p_type), 'economy') ORDER BY p_partkey LIMIT 20 OFFSET 20",
     ),
+    **{
+        f"preview_deep_{name}": (
+            lambda spark, folder, sort=sort, direction=direction, page=page: preview(
+                table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag"),
+                page=page, page_size=50, sort=sort, sort_dir=direction,
+            ),
+            f"SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, l_returnflag FROM lineitem ORDER BY {sort} {direction} NULLS LAST, "
+            + ", ".join(c for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag") if c != sort)
+            + f" LIMIT 50 OFFSET {(page - 1) * 50}",
+        )
+        for name, sort, direction, page in (("number", "l_quantity", "desc", 900), ("text", "l_returnflag", "asc", 1001), ("date", "l_shipdate", "asc", 612))
+    },
     "preview_info": (
         lambda spark, folder: preview_info(table(spark, folder, "orders"), page=2, page_size=40),
         "SELECT 2 AS page, 40 AS page_size, count(*) AS total_rows, CAST(ceil(count(*) / 40.0) AS BIGINT) AS total_pages "
