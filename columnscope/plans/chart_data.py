@@ -47,6 +47,28 @@ def _folded_sql(category: str, value: str, source: str, n: int) -> str:
 
 MONTH = "strftime(date_trunc('month', o_orderdate), '%Y-%m-%d')"
 
+# Orders have two measures, two small categories and a date, whatever the size; the numbers of groups are counted.
+SUGGESTED_SQL = """
+WITH n AS (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders)
+SELECT 0 AS position, 'histogram' AS chart_type, 'o_custkey' AS x, NULL AS y, NULL AS aggregation, NULL AS columns,
+       'Spread of o_custkey' AS title, 'Shows where the values of o_custkey lie.' AS reason
+UNION ALL SELECT 1, 'histogram', 'o_totalprice', NULL, NULL, NULL, 'Spread of o_totalprice', 'Shows where the values of o_totalprice lie.'
+UNION ALL SELECT 2, 'bar', 'o_orderstatus', 'o_custkey', 'sum', NULL, 'Sum of o_custkey for each o_orderstatus', 'o_orderstatus splits the rows into ' || s || ' groups.' FROM n
+UNION ALL SELECT 3, 'bar', 'o_orderpriority', 'o_custkey', 'sum', NULL, 'Sum of o_custkey for each o_orderpriority', 'o_orderpriority splits the rows into ' || p || ' groups.' FROM n
+UNION ALL SELECT 4, 'line', 'o_orderdate', 'o_custkey', 'sum', NULL, 'o_custkey by o_orderdate', 'Follows o_custkey along o_orderdate.'
+UNION ALL SELECT 5, 'line', 'o_orderdate', 'o_totalprice', 'sum', NULL, 'o_totalprice by o_orderdate', 'Follows o_totalprice along o_orderdate.'
+UNION ALL SELECT 6, 'heatmap', NULL, NULL, NULL, 'o_custkey,o_totalprice', 'How the measures move together', 'Compares 2 measures in pairs.'"""
+
+TASKS_SQL = """
+WITH n AS (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders)
+SELECT 0 AS position, 'classification' AS task, 'o_orderstatus' AS target, 'o_custkey,o_totalprice,o_orderpriority' AS features,
+       'Learns which of ' || s || ' classes of o_orderstatus a row belongs to.' AS reason FROM n
+UNION ALL SELECT 1, 'classification', 'o_orderpriority', 'o_custkey,o_orderstatus,o_totalprice', 'Learns which of ' || p || ' classes of o_orderpriority a row belongs to.' FROM n
+UNION ALL SELECT 2, 'regression', 'o_custkey', 'o_orderstatus,o_totalprice,o_orderpriority', 'Learns to estimate o_custkey.'
+UNION ALL SELECT 3, 'regression', 'o_totalprice', 'o_custkey,o_orderstatus,o_orderpriority', 'Learns to estimate o_totalprice.'
+UNION ALL SELECT 4, 'clustering', NULL, 'o_custkey,o_totalprice', 'Finds groups of rows alike in 2 measures.'
+UNION ALL SELECT 5, 'anomaly_detection', NULL, 'o_custkey,o_totalprice', 'Finds rows that stand apart in their measures.'"""
+
 ENTRIES = {
     "chart_histogram": (
         lambda spark, folder: rounded(chart_data(table(spark, folder, "orders"), "histogram", x="o_totalprice"), 2),
@@ -131,7 +153,8 @@ ENTRIES = {
         ),
     ),
     "suggest_charts": (
-        lambda spark, folder: suggest_charts(profile(table(spark, folder, "orders")), table(spark, folder, "orders")), None
+        lambda spark, folder: suggest_charts(profile(table(spark, folder, "orders")), table(spark, folder, "orders")).withColumn("columns", F.array_join("columns", ",")),
+        SUGGESTED_SQL,
     ),
     "suggested_chart_sizes": (
         lambda spark, folder: spark.createDataFrame([
@@ -139,7 +162,11 @@ ENTRIES = {
                 profile(table(spark, folder, "orders")), table(spark, folder, "orders")
             ))
         ], "position int, chart_type string, data_rows long"),
-        None,
+        """SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS position, unnest(['histogram', 'histogram', 'bar', 'bar', 'line', 'line', 'heatmap']) AS chart_type,
+        unnest([30, 30, s, p, m, m, 4]) AS data_rows FROM (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p, count(DISTINCT date_trunc('month', o_orderdate)) AS m FROM orders)""",
+    ),
+    "suggest_tasks": (
+        lambda spark, folder: suggest_tasks(profile(table(spark, folder, "orders"))).withColumn("features", F.array_join("features", ",")),
+        TASKS_SQL,
     ),
-    "suggest_tasks": (lambda spark, folder: suggest_tasks(profile(table(spark, folder, "orders"))), None),
 }
