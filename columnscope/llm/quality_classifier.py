@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from columnscope.llm.storage import materialise, only
+from columnscope.llm.storage import only, written
 from columnscope.llm.words import Tables, mixed, table, text_bytes
 
 ROW_BITS, SIZE = 14, 32
@@ -230,7 +230,7 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     labels every score is the prior; an empty table gives an empty result. Other columns are not looked at.
     """
     docs = only(df, id=id, text=text)
-    vectors = materialise(document_vectors(docs, context_vectors(docs)))
+    vectors = written(document_vectors(docs, context_vectors(docs)))
     known = only(labels, id=id, label=label).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").cast("int").alias("label"))
     learn = F.lit(True) if may_learn is None else may_learn(F.col("id"))
     adjust = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(4)) == 0 if calibrates is None else calibrates(F.col("id"))
@@ -238,8 +238,11 @@ def score(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     def taken(which, most: int) -> tuple[np.ndarray, np.ndarray]:
         own = known.where(which)
         own = own.sample(min(1.0, most / max(own.count(), 1)), seed=3)
-        rows = vectors.join(own, "id").orderBy("id", "vector").select("vector", "label").toPandas()
-        x = np.frombuffer(b"".join(map(bytes, rows["vector"])), np.float32).reshape(-1, FEATURES).astype(np.float64)
+        rows = vectors.join(own, "id").select("id", "vector", "label").toPandas()
+        # one order whatever the tasks' order was; only these rows are sorted
+        rows["vector"] = rows["vector"].map(bytes)
+        rows = rows.sort_values(["id", "vector"])
+        x = np.frombuffer(b"".join(rows["vector"]), np.float32).reshape(-1, FEATURES).astype(np.float64)
         return x, rows["label"].to_numpy().astype(np.float64)
 
     net = fit_network(*taken(learn & ~adjust, training_rows))

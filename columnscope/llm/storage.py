@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from columnscope.functions.sizing import materialise, shared_folder
 
-__all__ = ["filter_bit", "id_filter", "materialise", "only", "passes", "per_worker", "shared_folder"]
+__all__ = ["filter_bit", "id_filter", "materialise", "only", "passes", "per_worker", "shared_folder", "written"]
 
 # A filter of ids has so many bits (512 KiB), whatever the number of ids: it may pass too many, never too few.
 FILTER_BITS = 1 << 22
@@ -25,6 +26,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet files in the shared folder, read again: narrower than a checkpoint, and read a column at a time."""
+    place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def filter_bit(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
 
