@@ -34,6 +34,7 @@ REPEAT = 1 << FILTERS.index("E")
 RANGE_BYTES = 32 << 20
 MAX_RANGES = 16_384
 SAMPLE_PER_RANGE = 32
+OFFER = 8
 TRIE_BYTES = 48 << 20
 _NODE_BYTES = 300
 
@@ -112,7 +113,11 @@ def _bytes_of(batch: pa.RecordBatch) -> list:
 
 
 def prefix_cuts(docs: DataFrame, ranges: int) -> list[bytes]:
-    """Prefixes that cut the texts into about equal ranges: of sorted sample texts, just longer than what they share with the one before."""
+    """Prefixes that cut the texts into ranges of about equal size.
+
+    Sample texts are sorted, and each offers the prefix that is just longer than what it shares with the text before; offers
+    are thinned by the bytes they stand for. A prefix is no longer than 4 KiB, as it serves balance alone.
+    """
     rows = docs.count()
     if ranges <= 1 or not rows:
         return []
@@ -120,20 +125,29 @@ def prefix_cuts(docs: DataFrame, ranges: int) -> list[bytes]:
     sample = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(keep)) == 0).distinct()
 
     def cut(batches):
-        last, n = None, 0
+        last, held = None, 0
         for batch in batches:
-            found = []
-            for text in _bytes_of(batch):
-                if last is not None:
-                    n += 1
-                    if n % SAMPLE_PER_RANGE == 0:
-                        found.append(text[:common(text, last, 0) + 1])
+            found, sizes = [], []
+            for n, text in enumerate(_bytes_of(batch)):
+                held += len(text)
+                # the first text of a task has no neighbour, every eighth of the others is enough
+                if last is None or n % OFFER == 0:
+                    found.append(text[:min(64 if last is None else common(text, last, 0) + 1, 4096)])
+                    sizes.append(held)
+                    held = 0
                 last = text
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["cut"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sizes, pa.int64())], names=["cut", "size"])
 
     in_order = sample.repartitionByRange(max(1, ranges // 8), F.substring("text", 1, 64)).sortWithinPartitions("text")
-    # at most about one prefix for each range comes to the driver
-    return sorted({bytes(r["cut"]) for r in in_order.mapInArrow(cut, "cut binary").collect()})
+    # a few prefixes for each range come to the driver
+    offers = sorted((bytes(r["cut"]), r["size"]) for r in in_order.mapInArrow(cut, "cut binary, size long").collect())
+    each, passed, cuts = sum(n for _, n in offers) / ranges, 0, []
+    for prefix, size in offers:
+        passed += size
+        if passed >= each and prefix and prefix != (cuts[-1] if cuts else None):
+            cuts.append(prefix)
+            passed = 0
+    return cuts
 
 
 def masks(df: DataFrame, id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
