@@ -296,7 +296,10 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", *, width:
     stay or go together.
     """
     found = similar(df, id, text, width=width, threshold=threshold)
-    gone = materialise(found.where(F.col(f"`{id}`") != F.col("component_id")).select(F.col(f"`{id}`").alias("__gone")).distinct())
+    name = "gone"
+    while name in df.columns:
+        name += "_"
+    gone = materialise(found.where(F.col(f"`{id}`") != F.col("component_id")).select(F.col(f"`{id}`").alias(name)).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return df.join(gone, df[f"`{id}`"] == F.col("__gone"), "left_anti")
+    return df.join(gone, df[f"`{id}`"] == gone[name], "left_anti")

@@ -230,3 +230,17 @@ def test_pipeline(spark):
             assert docs.columns == last
     assert sizes[0] > sizes[1] >= sizes[2] and sizes[3] == sizes[4]
     assert corpus_pipeline.run(spark, folder).count() == sizes[4]
+
+
+def test_pipeline_stages_with_other_columns(spark, odd_documents):
+    """Columns that clash with those of the stages, and none for the number of characters."""
+    import corpus_pipeline
+
+    docs = odd_documents.selectExpr("*", "1 as __gone", "2 as gone", "'d' as domain", "3 as n_tokens", "4 as epoch", "5 as taken", "6 as `__tokens`", "7 as `row`", "8 as `a.b`")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["n-gram Jaccard join"](spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 7, 9}
+    mixed = stages["mixing sources"](spark, docs, "/root/testdata/sf0.001")
+    rows = mixed.collect()
+    assert mixed.columns == docs.columns and all(r.domain == "d" and r["a.b"] == 8 and r["row"] == 7 for r in rows)
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
