@@ -41,12 +41,16 @@ def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents by target weights: one row for each epoch that uses a document; the last of a leaf is cut to its share."""
-    counted = with_domain(docs).withColumn("n_tokens", mixing.n_words(F.col("text")))
+    # a document travels as one struct, so that no column of its own clashes with the mixture's
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    counted = with_domain(docs.select("doc_id", "lang", "source", F.struct(*names).alias("row"))).withColumn("n_tokens", mixing.n_words(F.col("row.text")))
     chosen = mixing.mix(counted, MIX_LEVELS, "n_tokens", MIX_BUDGET, MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
     cut = F.col("taken") < F.col("n_tokens")
-    return chosen.withColumn("text", F.when(cut, mixing.cut_to(F.col("text"), F.col("taken"))).otherwise(F.col("text"))).withColumn(
-        "n_chars", F.when(cut, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    ).select(*docs.columns)
+    text = F.when(cut, mixing.cut_to(F.col("row.text"), F.col("taken"))).otherwise(F.col("row.text"))
+    replaced = {"text": text}
+    if "n_chars" in docs.columns:
+        replaced["n_chars"] = F.when(cut, F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return chosen.select(*[replaced.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
