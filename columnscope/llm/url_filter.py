@@ -57,14 +57,29 @@ def _matched(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
     return F.coalesce(*hits) if hits else F.lit(None).cast("struct<verdict:string,rule:string>")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root without the segments ``.`` and ``..``, which stand for this folder and the one above."""
+    def step(kept: Column, segment: Column) -> Column:
+        above = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(segment == "..", above).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    # the root is kept; a path that ends in a dot segment names a folder
+    folded = F.array_join(F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), step), "/")
+    folded = F.when(last.isin(".", ".."), F.concat(folded, F.lit("/"))).otherwise(folded)
+    return F.when(path.contains("/."), folded).otherwise(path)
+
+
 def _key(url: Column) -> Column:
-    """One spelling of a URL as a node: scheme and host in lower case, without fragment; null if empty."""
+    """One spelling of a URL as a node: scheme and host in lower case, without fragment and dot segments; null if empty."""
     trimmed = F.trim(url)
     whole = F.regexp_extract(trimmed, r"(?s)^([^#]*)", 1)
     scheme = F.lower(F.regexp_extract(whole, r"(?s)^(.*?)://", 1))
-    rest = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    path = F.when(rest == "", F.lit("/")).otherwise(rest)
-    return F.when(whole.contains("://"), F.concat(scheme, F.lit("://"), host_of(whole), path))
+    path = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*([^?]*)", 1)
+    query = F.regexp_extract(whole, r"(?s)^.*?://[^?]*(\?.*)$", 1)
+    rooted = F.when((path == "") & (query == ""), F.lit("/")).otherwise(_without_dots(path))
+    return F.when(whole.contains("://"), F.concat(scheme, F.lit("://"), host_of(whole), rooted, query))
 
 
 def _absolute(target: Column, base: Column) -> Column:
@@ -82,23 +97,36 @@ def _absolute(target: Column, base: Column) -> Column:
     )
 
 
-# A tag is looked at up to this many characters, as markup without an end would else run to the end of the page.
-_TAG = r"[^<>]{0,4096}"
+# The inside of a tag: quoted values are units, whatever they hold; a tag with a lone quote ends at its first ``>``. Possessive
+# throughout, so neither long values nor markup without an end makes the search go back.
+_INSIDE = r"""((?:[^<>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^<>]*+)>"""
+_ATTRIBUTE = r"""([^\s"'=<>/]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of that name, without its quotes; null if it has none."""
+    both = F.arrays_zip(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1).alias("name"), F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2).alias("value"))
+    value = F.get(F.filter(both, lambda p: F.lower(p["name"]) == name), F.lit(0))["value"]
+    return F.trim(F.replace(F.regexp_replace(value, r"""^["']|["']$""", ""), F.lit("&amp;"), F.lit("&")))
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) of every canonical link and meta refresh in the pages' markup, as node names."""
-    canonical = F.regexp_extract_all("html", F.lit(rf"(?i)<link\b({_TAG}\brel\s*=\s*[\"']?canonical\b{_TAG})>"), 1)
-    refresh = F.regexp_extract_all("html", F.lit(rf"(?i)<meta\b({_TAG}\bhttp-equiv\s*=\s*[\"']?refresh\b{_TAG})>"), 1)
-    href = F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    aim = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
+    """(source, target) of every canonical link and meta refresh in the pages' markup, as node names.
+
+    Comments are no markup. A link is canonical if that is one of the words of its ``rel``.
+    """
     # a plain search first: most pages have neither tag
     held = only(pages, url=url, html=html).where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh"))
-    tags = held.select("url", F.explode(F.concat(
-        F.transform(canonical, lambda t: F.struct(t.alias("tag"), F.lit(True).alias("link"))),
-        F.transform(refresh, lambda t: F.struct(t.alias("tag"), F.lit(False).alias("link"))),
-    )).alias("found")).select("url", "found.*")
-    target = F.replace(F.when(F.col("link"), href).otherwise(aim), F.lit("&amp;"), F.lit("&"))
+    shown = held.select("url", F.regexp_replace("html", r"(?s)<!--(?:.*?-->|.*$)", " ").alias("html"))
+
+    def of_kind(kind: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(rf"(?i)<{kind}\b{_INSIDE}"), 1), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("tag")))
+
+    tags = shown.select("url", F.explode(F.concat(of_kind("link"), of_kind("meta"))).alias("found")).select("url", "found.*")
+    canonical = F.when(F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
+    aim = F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
+    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", aim)
+    target = F.when(F.col("kind") == "link", canonical).otherwise(refresh)
     return tags.select(_key(F.col("url")).alias("source"), _key(_absolute(target, F.col("url"))).alias("target")).where(
         "source is not null and target is not null and source <> target"
     ).distinct()

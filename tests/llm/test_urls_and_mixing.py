@@ -33,6 +33,23 @@ def test_aliases(spark):
     assert judged(spark, []) == {}
 
 
+def test_markup(spark):
+    long = "x" * 9000
+    pages = [
+        ("http://a.org/1", '<link title="a > b" rel="canonical" href="http://t.org/1">'), ("http://a.org/2", f'<link data-x="{long}" rel=canonical href=http://t.org/2>'),
+        ("http://a.org/3", '<link rel="alternate canonical" href="/q">'), ("http://a.org/4", '<!-- <link rel=canonical href="http://t.org/4"> -->'),
+        ("http://a.org/d/e/5", "<link href='../q/./z/..?x=../y' rel='canonical'>"), ("http://a.org/6", '<link title="rel=canonical" href="http://t.org/6">'),
+        ("http://a.org/7", "<!-- open <link rel=canonical href=http://t.org/7>"), ("http://a.org/8", '<META content="5; URL=\'http://t.org/8?a=1&amp;b=2\'" HTTP-EQUIV=Refresh>'),
+        ("http://a.org/9", "<link title=Bob's rel=canonical href=http://t.org/9>"), ("http://a.org/../../10/.", "<link rel=canonical href=http://t.org>"),
+        ("http://a.org/11", "<link " + "'" * 3001), ("http://a.org/12", "<link rel='canonicals' href='http://t.org/12'>"),
+    ]
+    found = url_filter.page_links(spark.createDataFrame([(*p, 1, "k", "t") for p in pages], "url string, html string, source int, kind string, tag string"))
+    assert {(r.source, r.target) for r in found.collect()} == {
+        ("http://a.org/1", "http://t.org/1"), ("http://a.org/2", "http://t.org/2"), ("http://a.org/3", "http://a.org/q"), ("http://a.org/d/e/5", "http://a.org/d/q/?x=../y"),
+        ("http://a.org/8", "http://t.org/8?a=1&b=2"), ("http://a.org/9", "http://t.org/9"), ("http://a.org/10/", "http://t.org/"),
+    }
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2300)] + [(7, None), (5000, 5000)]
