@@ -1,6 +1,6 @@
 """Equal-count value ranges: the building block for exact order statistics without a one-task sort.
 
-``fit`` cuts each column at sketch quantiles (one mergeable aggregate, a bounded list on the driver). Every
+``fit`` cuts each column at quantiles of sketches that are merged in two levels (a bounded list comes to the driver). Every
 cut value becomes a range of its own, so a value shared by a third of all rows sits alone in a *single*
 range, and every other range holds about ``rows / buckets`` rows whatever the distribution. The cuts only
 decide balance; results computed from the ranges are exact for any cuts.
@@ -19,6 +19,8 @@ from columnscope.functions.columns import ref
 from columnscope.functions.sizing import bucket_target
 
 SUFFIX = "__range"
+# Items of a quantile sketch: a range's share of the rows is off by about two parts in so many.
+_LEAST_ITEMS, _MOST_ITEMS = 2_000, 65_535
 
 
 def bucket_name(column: str) -> str:
@@ -33,12 +35,16 @@ class ValueBuckets:
     def fit(df: DataFrame, columns: list[str], target: int | None = None) -> ValueBuckets:
         """``columns`` must be double columns with NULL (not NaN) for missing values."""
         count = target or bucket_target(df)
-        probs = f"array({', '.join(f'{i / count!r}d' for i in range(1, count))})"
-        accuracy = max(10_000, 20 * count)
+        probs = F.expr(f"array({', '.join(f'{i / count!r}d' for i in range(1, count))})")
+        # sketches of tasks are merged in groups first, so that no task merges those of all
+        items = min(_MOST_ITEMS, max(_LEAST_ITEMS, 4 * count))
         numbers = df.select(*[ref(c).alias(f"c{i}") for i, c in enumerate(columns)])
-        row = numbers.agg(
-            *[F.expr(f"percentile_approx({c}, {probs}, {accuracy})").alias(c) for c in numbers.columns]
-        ).first()
+        tasks = max(1, math.isqrt(bucket_target(df)))
+        partial = numbers.withColumn("task", F.pmod(F.spark_partition_id(), F.lit(tasks))).groupBy("task").agg(
+            *[F.kll_sketch_agg_double(c, items).alias(c) for c in numbers.columns], *[F.count(c).alias(f"n_{c}") for c in numbers.columns]
+        )
+        whole = partial.agg(*[F.kll_merge_agg_double(c).alias(c) for c in numbers.columns], *[F.sum(f"n_{c}").alias(f"n_{c}") for c in numbers.columns])
+        row = whole.select(*[F.when(F.col(f"n_{c}") > 0, F.kll_sketch_get_quantile_double(F.when(F.col(f"n_{c}") > 0, F.col(c)), probs)).alias(c) for c in numbers.columns]).first()
         splits = {}
         for i, column in enumerate(columns):
             cuts = set()

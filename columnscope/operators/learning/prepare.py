@@ -16,7 +16,7 @@ from columnscope.operators.counting import rendered
 
 MIN_ROWS = 10
 MAX_IMPORTANCES = 15
-# One-hot labels are kept on the driver; a text feature with more values needs encoding="hashed" (a fixed width).
+# One-hot labels are kept on the driver; a text feature with more values needs a higher ``max_one_hot`` or encoding="hashed" (a fixed width).
 ENCODINGS = ("one_hot", "hashed")
 MAX_ONE_HOT = 10_000
 HASH_WIDTH = 1 << 18
@@ -54,10 +54,10 @@ def feature_table(df: DataFrame, features: list[str], extra: list[str] = ()) ->
 class Preparation:
     """Mean-impute and standardise numbers; fill texts with their mode and encode them as ``encoding`` says."""
 
-    def __init__(self, numeric: list[str], texts: list[str], encoding: str = "one_hot") -> None:
+    def __init__(self, numeric: list[str], texts: list[str], encoding: str = "one_hot", max_one_hot: int = MAX_ONE_HOT) -> None:
         if encoding not in ENCODINGS:
-            raise ValidationError(f"Unsupported encoding: {encoding!r}. Choose from {list(ENCODINGS)}.")
-        self.numeric, self.texts, self.encoding = numeric, texts, encoding
+            raise ValidationError(f"No encoding is called {encoding!r}; there are {', '.join(ENCODINGS)}.")
+        self.numeric, self.texts, self.encoding, self.max_one_hot = numeric, texts, encoding, max_one_hot
         self.modes: dict[str, str] = {}
         self.hashed: list[str] = []
 
@@ -113,9 +113,9 @@ class Preparation:
 
     def _check_width(self, train: DataFrame, texts: list[str]) -> None:
         row = train.agg(*[F.count_distinct(t).alias(t) for t in texts]).first()
-        wide = [self.texts[i] for i, t in enumerate(texts) if row[t] > MAX_ONE_HOT]
+        wide = [self.texts[i] for i, t in enumerate(texts) if row[t] > self.max_one_hot]
         if wide:
-            raise ValidationError(f"Feature(s) {wide} have more than {MAX_ONE_HOT} values; use encoding='hashed'.")
+            raise ValidationError(f"Feature(s) {wide} have more than {self.max_one_hot} values; raise max_one_hot or use encoding='hashed'.")
 
     def transform(self, table: DataFrame) -> DataFrame:
         return self.model.transform(self._filled(table))
