@@ -157,3 +157,33 @@ def test_copies_of_one_row_are_dealt_over_tasks(spark):
     finally:
         spark.conf.set(key, before)
     assert drawn > 1
+
+
+def test_passes_read_packed_rows(spark):
+    """A pass gets a value for thousands of rows; equally near centres give a row to the first, as argmin does."""
+    points = np.array([[0.0, 0], [1, 0], [2, 0], [3, 0]] * 2500)
+    rows = spark.createDataFrame(pd.DataFrame(points, columns=["f0", "f1"])).repartition(2)
+    blocks = clustering._packed(rows)
+    assert blocks.count() <= 4
+    centres = {0: np.array([[0.0, 0], [2, 0]]), 7: np.array([[3.0, 0], [3, 0]])}
+    found = clustering._pass(blocks, np.zeros(2), np.ones(2), centres)
+    assert found[0][0].tolist() == [5000, 5000] and found[0][1][:, 0].tolist() == [2500, 12500] and found[0][2] == 5000
+    assert found[7][0].tolist() == [10000, 0] and found[7][2] == 2500 * 14
+
+
+def test_scores_are_those_of_a_walk(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(5000, 2)).round(1)
+    frames, walked = [], np.zeros(5000)
+    for tree in range(5):
+        nodes = anomaly.grow_tree(points[rng.integers(0, 5000, 64)], rng, 6)
+        frames.append(pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "feature", "cut", "lower", "upper", "depth"]))
+        for i, p in enumerate(points):
+            at = 0
+            while nodes[at][1] >= 0:
+                at = nodes[at][3] if p[nodes[at][1]] <= nodes[at][2] else nodes[at][4]
+            walked[i] += nodes[at][5]
+    score = anomaly._scorer(pd.concat(frames), 3.0)
+    df = spark.createDataFrame(pd.DataFrame(np.c_[points, np.arange(5000)], columns=["a", "b", "i"]))
+    got = df.select("i", score("a", "b").alias("s")).orderBy("i").toPandas()["s"].to_numpy()
+    assert np.allclose(got, -np.power(2.0, -walked / 5 / 3.0), rtol=1e-15)
