@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from columnscope.functions.columns import ROW_ID
-from columnscope.functions.sizing import shared_folder
+from columnscope.functions.sizing import estimated_bytes, shared_folder
 from columnscope.operators.query import run_query
 from columnscope.plans.base import rounded, table
 from columnscope.sources.files import check_files, ingest, read_table
@@ -29,11 +30,16 @@ def _csv(separator, encoding="UTF-8"):
     return run
 
 
+# A file of texts to be read by several tasks is made from so much of the (compressed) table.
+BREAKS_BYTES = 64 * 1024 * 1024
+
+
 def _with_breaks(spark, folder):
-    """Texts with line breaks, quotes and separators, in one file that several tasks read."""
+    """Texts with line breaks, quotes and separators, in files that several tasks read each: one, or more of a large table."""
     place = _place(spark, "breaks")
     rows = table(spark, folder, "documents").selectExpr("doc_id", "lang", "text", "n_chars")
-    rows.coalesce(1).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{place}/in")
+    files = math.ceil((estimated_bytes(rows) or 0) / BREAKS_BYTES)
+    rows.coalesce(max(1, files)).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{place}/in")
     key = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
     spark.conf.set(key, str(256 * 1024))

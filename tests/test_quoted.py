@@ -64,3 +64,17 @@ def test_odd_files(spark, tmp_path):
     assert rows == [("a\nb", 1, 0), ('5" pipe', 2, 1), ("open\nto the end,3", None, 2)]
     (tmp_path / "a.csv").write_text('"t\nu",n\n"a\nb",1\n')
     assert read_delimited(spark, str(tmp_path / "a.csv")).select("`t\nu`", "n").collect()[0][:] == ("a\nb", 1)
+
+
+def test_query_writes_a_large_table_to_several_files(spark, tmp_path, monkeypatch):
+    from columnscope.plans import tables
+
+    monkeypatch.setattr(tables, "BREAKS_BYTES", 4000)
+    rows = [(i, "en", f'line {i}\nsays "{i * 7919}"' * 20, 10) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars int").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    places = []
+    place = tables._place
+    monkeypatch.setattr(tables, "_place", lambda s, n: places.append(place(s, n)) or places[-1])
+    got = {r["doc_id"]: r["n"] for r in tables._with_breaks(spark, str(tmp_path)).collect()}
+    assert got == {i: len(t) for i, _, t, _ in rows}
+    assert len(spark.read.format("binaryFile").load(f"{places[0]}/in/*.csv").inputFiles()) > 2
