@@ -28,6 +28,8 @@ RANK = 256
 WINDOWS = (16, 32)
 # Windows start at multiples of so many words; images are summed up by such steps once and shared by the windows.
 STEP = 4
+# What is compared around the windows that start in so many words is bounded together.
+STRETCH = 64
 # Low, as an item whose rarest words are changed keeps little weight but most of its words; what comes of it is confirmed anyhow.
 COSINE = 0.1
 # A subsequence of this share of the item is a leak by itself; of the lower share, if the answer is found too.
@@ -200,6 +202,27 @@ class Index:
 
     masks: dict = field(default_factory=dict)  # by item, the places of each word; made where they are needed
 
+    def __post_init__(self):
+        """Which items hold a term how often: entries (term, k, item) for its k-th time in the item, so that those up to a count stand together."""
+        length = np.array([len(own) for _, own, _ in self.items], np.int64)
+        item = np.repeat(np.arange(len(length)), length)
+        row = self.row_of_term[terms(np.array([h for _, own, _ in self.items for h in own], np.uint64))].astype(np.int64)
+        order = np.lexsort((item, row))
+        row, item = row[order], item[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        first = np.flatnonzero(new)
+        time = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        order = np.lexsort((time, row))
+        row, self.holders = row[order], item[order]
+        self.times = int(time.max(initial=0)) + 1
+        # sorted, so that the entries of a term up to its c-th time end where (term, c) would be put in
+        self.places = row * self.times + time[order]
+        self.lengths = length
+        self.shares = np.where(length < SHORT_ITEM, SHORT_LEAK, LEAK_WITH_ANSWER)
+        # so many words around a window are compared with an item
+        self.reach = int((np.where(length < SHORT_ITEM, 2, 1) * length).max(initial=0))
+
     def common(self, item: int, words: list[int]) -> int:
         """Length of the longest common subsequence with an item, bit-parallel over the item's words; 0 if too short for any leak."""
         own = self.items[item][1]
@@ -263,22 +286,58 @@ def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return text, first, np.minimum(first + size, words.bounds[1:][text])
 
 
-def _images(words: Words, index: Index, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latent sums of every step of STEP words, with a row of zeros at the end, and each text's first step."""
-    per = -(-words.counts() // STEP)
+def _images(words: Words, index: Index, row: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Latent sums of every step of STEP words of the wanted texts, and each text's first step; rows of zeros after a text serve windows that pass its end."""
+    per = np.where(wanted, -(-words.counts() // STEP) + WINDOWS[-1] // STEP - 1, 0)
     start = np.concatenate([[0], np.cumsum(per)])
-    out = np.zeros((start[-1] + 1, index.vectors.shape[1]), np.float32)
+    out = np.zeros((start[-1], index.vectors.shape[1]), np.float32)
     # most words are none of the benchmark's
-    held = np.flatnonzero(row < len(index.vectors) - 1)
+    held = np.flatnonzero((row < len(index.vectors) - 1) & np.repeat(wanted, words.counts()))
     text = np.searchsorted(words.bounds, held, "right") - 1
-    step = start[text] + (held - words.bounds[text]) // STEP
-    for at, of in zip(*(np.array_split(x, max(1, len(held) // 2048)) for x in (held, step))):
-        if len(at):
-            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            out[of[first]] += np.add.reduceat(index.vectors[row[at]] * weight[at, None], first, axis=0)
+    step, place = np.divmod(held - words.bounds[text], STEP)
+    step += start[text]
+    # words at one place of their steps never meet; few rows at a time stay in the CPU's caches
+    for at, of, j in zip(*(np.array_split(x, max(1, len(held) // 1024)) for x in (held, step, place))):
+        for k in range(STEP):
+            mine = np.flatnonzero(j == k)
+            out[of[mine]] += index.vectors[row[at[mine]]] * weight[at[mine], None]
     return out, start
 
 
+def _possible(words: Words, index: Index, row: np.ndarray) -> np.ndarray:
+    """For each text and item, whether any stretch that a window is confirmed in holds as many of the item's words as a leak needs.
+
+    A common subsequence has no word more often than either side. Stretches hold all that is compared for windows that start in them.
+    """
+    n, n_items = words.counts(), len(index.items)
+    possible = np.zeros((len(n), n_items), bool)
+    held = np.flatnonzero(row < len(index.vectors) - 1)
+    if not len(held):
+        return possible
+    text = np.searchsorted(words.bounds, held, "right") - 1
+    place = held - words.bounds[text]
+    per = -(-n // STRETCH)
+    start = np.concatenate([[0], np.cumsum(per)])
+    # a word is looked at by every stretch that reaches it
+    low = np.maximum(0, (place - index.reach - WINDOWS[-1] - STRETCH) // STRETCH + 1)
+    high = np.minimum(per[text] - 1, (place + index.reach) // STRETCH)
+    times = high - low + 1
+    stretch = np.repeat(start[text] + low - np.cumsum(times) + times, times) + np.arange(times.sum())
+    key, count = np.unique(stretch * len(index.vectors) + np.repeat(row[held], times), return_counts=True)
+    stretch, term = key // len(index.vectors), key % len(index.vectors)
+    first = np.searchsorted(index.places, term * index.times)
+    last = np.searchsorted(index.places, term * index.times + np.minimum(count, index.times))
+    owner = np.repeat(np.arange(len(n)), per)
+    cuts = np.searchsorted(stretch, np.arange(0, start[-1] + 256, 256))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        size = last[a:b] - first[a:b]
+        at = np.repeat(first[a:b] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        shared = np.bincount(np.repeat(stretch[a:b] - 256 * i, size) * n_items + index.holders[at], minlength=256 * n_items).reshape(-1, n_items)
+        s, item = np.nonzero(shared / index.lengths >= index.shares)
+        possible[owner[256 * i + s], item] = True
+    return possible
+
+
 def hits(words: Words, index: Index, cosine: float = COSINE):
     """(text, item, cosine, share of the item in common, answer found, first word) of every leak, the best one a text and item."""
     found = terms(words.hashes)
@@ -298,31 +357,39 @@ def hits(words: Words, index: Index, cosine: float = COSINE):
         return []
     # the longest query, and a little for rounding
     most = float(np.linalg.norm(index.queries, axis=1).max()) * 1.0001
-    images, steps = _images(words, index, row, weight)
+    possible = _possible(words, index, row)
+    wanted = possible.any(1)
+    if not wanted.any():
+        return []
+    images, steps = _images(words, index, row, weight, wanted)
     for size in WINDOWS:
         text, first, end = _windows(words, size)
         norms = np.sqrt(np.maximum(total[end] - total[first], 1e-12))
-        near = np.flatnonzero(np.sqrt(np.maximum(known[end] - known[first], 0)) * most >= cosine * norms)
+        near = np.flatnonzero(wanted[text] & (np.sqrt(np.maximum(known[end] - known[first], 0)) * most >= cosine * norms))
         for part in np.array_split(near, -(-len(near) // 512)) if len(near) else ():
             step = steps[text[part]] + (first[part] - words.bounds[:-1][text[part]]) // STEP
-            n = -(-(end[part] - first[part]) // STEP)
-            image = images[step]
-            for j in range(1, size // STEP):
-                image += images[np.where(j < n, step + j, len(images) - 1)]
+            # parts follow each other in the steps; sums of neighbours are doubled up to the window's size
+            image, n = images[step[0]:step[-1] + size // STEP], 1
+            while n < size // STEP:
+                image, n = image[:-n] + image[n:], 2 * n
+            image = image[step - step[0]]
             image /= norms[part][:, None].astype(np.float32)
             long = np.einsum("ij,ij->i", image, image) * most ** 2 >= cosine ** 2
             part, image = part[long], image[long]
             a, b = first[part], end[part]
-            product = image @ index.queries.T
-            w, q = np.nonzero(product >= cosine)
-            candidates += zip((-product[w, q]).tolist(), text[part][w].tolist(), index.item_of[q].tolist(), a[w].tolist(), b[w].tolist())
+            pairs = possible[text[part]]
+            among = np.flatnonzero(pairs.any(0)[index.item_of])
+            product = image @ index.queries[among].T
+            w, q = np.nonzero((product >= cosine) & pairs[:, index.item_of[among]])
+            candidates += zip((-product[w, q]).tolist(), text[part][w].tolist(), index.item_of[among[q]].tolist(), a[w].tolist(), b[w].tolist())
     # best first; a stretch of the text that has been compared with an item is not compared again
     for product, t, item, a, b in sorted(candidates):
         if (t, item) in best:
             continue
         own = index.items[item][1]
         start, stop = int(words.bounds[t]), int(words.bounds[t + 1])
-        if any(low <= max(start, a - len(own)) and high >= min(stop, b + len(own)) for low, high in looked.get((t, item), ())):
+        near_low, near_high = max(start, a - len(own)), min(stop, b + len(own))
+        if any(low <= near_low and high >= near_high for low, high in looked.get((t, item), ())):
             continue
         low, high = max(start, a - 2 * len(own)), min(stop, b + 2 * len(own))
         looked.setdefault((t, item), []).append((low, high))
@@ -332,7 +399,7 @@ def hits(words: Words, index: Index, cosine: float = COSINE):
             leak = share >= SHORT_LEAK
         else:
             # a long region holds frequent words of any item in some order: only the stretch around the window counts
-            near_by = words.hashes[max(start, a - len(own)):min(stop, b + len(own))].tolist()
+            near_by = words.hashes[near_low:near_high].tolist()
             share = index.common(item, near_by) / len(own) if share >= LEAK_WITH_ANSWER else 0.0
             leak = share >= LEAK or share >= LEAK_WITH_ANSWER and _in_order(index.items[item][2], near_by)
         if leak:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -128,6 +129,36 @@ def test_items_without_their_rarest_words(spark):
     assert all(r.common >= 0.5 for r in found)
 
 
+def test_items_that_share_too_few_words_are_passed_over():
+    rng = random.Random(12)
+    often, rare = [f"often{i}" for i in range(30)], [f"rare{i}" for i in range(400)]
+
+    def text(n):
+        return [rng.choice(often) if rng.random() < 0.2 else rng.choice(rare) for _ in range(n)]
+
+    items = [text(n) for n in (3, 7, 8, 9, 20, 38, 59, 90)]
+    texts = [text(rng.randint(0, 400)) for _ in range(30)]
+    for i, own in enumerate(items):
+        at = rng.randrange(200)
+        texts.append(text(200))
+        texts[-1][at:at] = [w if j % 5 else "other" for j, w in enumerate(own)] if len(own) >= 8 else own
+    tables = decontamination._tables()
+    words = decontamination.Words(*decontamination.text_bytes(pa.array([" ".join(t) for t in texts])), tables)
+    held = [(i, decontamination.Words(*decontamination.text_bytes(pa.array([" ".join(own)])), tables).hashes.tolist(), [0]) for i, own in enumerate(items)]
+    known = np.unique(decontamination.terms(np.array([h for _, own, _ in held for h in own], np.uint64)))
+    rows = np.full(decontamination.TERMS, len(known), np.int32)
+    rows[known] = np.arange(len(known))
+    index = decontamination.Index(np.ones(decontamination.TERMS, np.float32), rows, np.zeros((len(known) + 1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.int64), held)
+    possible = decontamination._possible(words, index, rows[decontamination.terms(words.hashes)])
+    for size in decontamination.WINDOWS:
+        for t, a, b in zip(*decontamination._windows(words, size)):
+            for i, own, _ in held:
+                reach, least = (2, 0.9) if len(own) < 8 else (1, 0.5)
+                region = words.hashes[max(words.bounds[t], a - reach * len(own)):min(words.bounds[t + 1], b + reach * len(own))].tolist()
+                assert possible[t, i] or index.common(i, region) / len(own) < least
+    assert all(possible[30 + i, i] for i in range(len(items))) and possible[:, 4:7].mean() < 0.5
+
+
 def test_chain_by_brute_force():
     rng = random.Random(6)
     for _ in range(60):
