@@ -206,6 +206,14 @@ def test_passages(spark, odd_documents, no_documents):
     assert repeats.passages(no_documents).count() == 0
 
 
+def test_seeds_of_runs_fill_their_bit_map_evenly():
+    tables = repeats.Tables()
+    words = repeats.Words(*decontamination.text_bytes(pa.array([" ".join(f"w{i * 7919 % 100_003}" for i in range(50_000))])), tables)
+    seeds = np.unique(repeats._whole_runs(words, repeats.MIN_WORDS, tables)[3])
+    eighths = np.bincount((seeds >> np.uint64(61)).astype(np.int64), minlength=8) / len(seeds)
+    assert len(seeds) > 2000 and eighths.min() > 0.08 and eighths.max() < 0.18
+
+
 def test_equal_passages_by_brute_force(spark):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(4000)]
