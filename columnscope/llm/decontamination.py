@@ -292,15 +292,22 @@ def _images(words: Words, index: Index, row: np.ndarray, weight: np.ndarray, wan
     start = np.concatenate([[0], np.cumsum(per)])
     out = np.zeros((start[-1], index.vectors.shape[1]), np.float32)
     # most words are none of the benchmark's
-    held = np.flatnonzero((row < len(index.vectors) - 1) & np.repeat(wanted, words.counts()))
+    held = np.flatnonzero(row < len(index.vectors) - 1)
     text = np.searchsorted(words.bounds, held, "right") - 1
-    step, place = np.divmod(held - words.bounds[text], STEP)
-    step += start[text]
-    # words at one place of their steps never meet; few rows at a time stay in the CPU's caches
-    for at, of, j in zip(*(np.array_split(x, max(1, len(held) // 1024)) for x in (held, step, place))):
-        for k in range(STEP):
-            mine = np.flatnonzero(j == k)
-            out[of[mine]] += index.vectors[row[at[mine]]] * weight[at[mine], None]
+    step = start[text] + (held - words.bounds[text]) // STEP
+    for at, of, own in zip(*(np.array_split(x, max(1, len(held) // 2048)) for x in (held, step, wanted[text]))):
+        at, of = at[own], of[own]
+        if len(at):
+            rows = index.vectors[row[at]] * weight[at, None]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            size = np.diff(np.append(first, len(at)))
+            sums, several = rows[first], np.flatnonzero(size > 1)
+            rest = rows[first[several] + 1]
+            for k in range(2, STEP):
+                more = np.flatnonzero(size[several] > k)
+                rest[more] += rows[first[several[more]] + k]
+            sums[several] += rest
+            out[of[first]] += sums
     return out, start
 
 
@@ -368,10 +375,10 @@ def hits(words: Words, index: Index, cosine: float = COSINE):
         near = np.flatnonzero(wanted[text] & (np.sqrt(np.maximum(known[end] - known[first], 0)) * most >= cosine * norms))
         for part in np.array_split(near, -(-len(near) // 512)) if len(near) else ():
             step = steps[text[part]] + (first[part] - words.bounds[:-1][text[part]]) // STEP
-            # parts follow each other in the steps; sums of neighbours are doubled up to the window's size
-            image, n = images[step[0]:step[-1] + size // STEP], 1
-            while n < size // STEP:
-                image, n = image[:-n] + image[n:], 2 * n
+            # parts follow each other in the steps
+            image = images[step[0]:step[-1] + 1].copy()
+            for j in range(1, size // STEP):
+                image += images[step[0] + j:step[-1] + 1 + j]
             image = image[step - step[0]]
             image /= norms[part][:, None].astype(np.float32)
             long = np.einsum("ij,ij->i", image, image) * most ** 2 >= cosine ** 2
