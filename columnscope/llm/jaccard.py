@@ -33,6 +33,8 @@ _SEEDS = 8
 LISTED_MEMBERS = 24
 BLOCK_FEATURES = 1 << 21
 BLOCK_MEMBERS = 2048
+# A list of copies or of rows to drop with at most so many ids (16 MB) is sent to all tasks; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def bands(threshold: Fraction, most: int) -> np.ndarray:
@@ -145,7 +147,8 @@ def _some_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
                 yield table(id=part.column("id"), features=pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()))
 
     kind = dict(docs.dtypes)["id"]
-    return docs.where("id is not null").withColumn("bit", filter_bit("id")).mapInArrow(run, f"id {kind}, features binary").distinct()
+    # dealt by id, so that rows are made distinct and joined on either side without another exchange
+    return docs.where("id is not null").withColumn("bit", filter_bit("id")).mapInArrow(run, f"id {kind}, features binary").repartition("id").distinct()
 
 
 def _alike(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
@@ -158,6 +161,21 @@ def _alike(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
     return common * threshold.denominator >= threshold.numerator * (len(both) - common)
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(sig, id, first): members of the signatures that several ids share, of those with the same members only one signature.
+
+    ``rows`` (sig, id) come dealt by signature. Similar sets share hundreds of signatures, so most buckets go here, before
+    their members travel. Members are known by their number, first and last one and two sums of hashes.
+    """
+    def total(seed: int):
+        # 32 bits each, so that no number of members overflows
+        return F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 32))
+
+    shared = rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("members"), total(1).alias("s1"), total(2).alias("s2"))
+    chosen = shared.where("first < last").groupBy("first", "last", "members", "s1", "s2").agg(F.min("sig").alias("sig")).select("sig", "first")
+    return rows.join(chosen.hint("shuffle_hash"), "sig").select("sig", "id", "first").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Those of the pairs (a, b) that are similar."""
     def run(batches):
@@ -261,21 +279,26 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int
     sets = materialise(_sets(docs, width))
     reps = sets.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     same = materialise(sets.where("n > 0").join(reps, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b").distinct())
-    rows = _signature_rows(docs, width, threshold).repartition("sig")
-    shared = rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sig", "first")
     # copies stand for their representative from here on, so that no set is compared with its like
     mixed_ids = sets.groupBy("id").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least <> most")
-    moved = same.select(F.col("b").alias("id"), F.col("a").alias("rep")).join(mixed_ids, "id", "left_anti")
-    met = rows.join(shared.hint("shuffle_hash"), "sig").join(moved, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
-    least = met.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sig", "first")
-    buckets = materialise(met.join(least.hint("shuffle_hash"), "sig"))
+    moved = materialise(same.select(F.col("b").alias("id"), F.col("a").alias("rep")).join(mixed_ids, "id", "left_anti"))
+    # the condition, which joins add to one side alone, is written out so that one exchange serves both
+    rows = _signature_rows(docs, width, threshold).where("sig is not null").repartition("sig")
+    if moved.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(moved), "id", "left").select("sig", F.coalesce("rep", "id").alias("id"))
+    else:
+        # only what is shared is worth another exchange
+        twice = rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("sig")
+        met = rows.join(twice.hint("shuffle_hash"), "sig").join(moved, "id", "left")
+        rows = met.select("sig", F.coalesce("rep", "id").alias("id")).where("sig is not null").repartition("sig").distinct()
+    buckets = materialise(_buckets(rows))
     stars = buckets.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialise(stars)
     links = same
     if not stars.isEmpty():
         ends = stars.select(F.explode(F.array("a", "b")).alias("id"))
         links = materialise(same.unionAll(_verified(stars, _some_sets(docs, width, ends), threshold)))
-        alone = buckets.select(F.col("id").alias("a"), F.col("id").alias("b"))
+        alone = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
         more = _rest(buckets, components(links.unionAll(alone)), docs, sets, width, threshold)
         if more is not None:
             links = links.unionAll(more)
@@ -285,10 +308,6 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int
     )
 
 
-# A list of rows to drop with at most so many ids (16 MB) is sent to all tasks; a longer one is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of ``df``, all columns, that stay when of every group of linked documents the one of smallest id stays.
 

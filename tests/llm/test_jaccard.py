@@ -87,3 +87,23 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     found = entry.queries()["op6_ngram_jaccard_join"](spark, folder)
     assert sorted(map(tuple, found.collect())) == brute(rows, 3, Fraction(9, 10))
+
+
+def test_signatures_with_the_same_members_are_kept_once(spark):
+    members = {1: "abc", 2: "abc", 3: "abd", 4: "ab", 5: "ab", 6: "e", 7: "cd"}
+    rows = spark.createDataFrame([(sig, id) for sig, ids in members.items() for id in ids] + [(5, "b")], "sig long, id string").repartition("sig")
+    found = {}
+    for r in jaccard._buckets(rows).collect():
+        found.setdefault((r.sig, r.first), []).append(r.id)
+    # rows that repeat make a bucket look different, which loses nothing
+    assert {(*k, "".join(sorted(v))) for k, v in found.items()} == {(1, "a", "abc"), (3, "a", "abd"), (4, "a", "ab"), (5, "a", "ab"), (7, "c", "cd")}
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_copies_stand_for_their_representative(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", most)
+    base = [f"w{i}" for i in range(60)]
+    texts = [base, base, base[:59] + ["x"], base[:59] + ["x"], ["y"] + base[1:59] + ["x"], [f"v{i}" for i in range(40)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1, " ".join(base)), (3, "only once"), (None, " ".join(base))]
+    found = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=3, threshold=Fraction(9, 10))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, None: None}
