@@ -28,6 +28,7 @@ from columnscope.llm.words import distinct, groups, mixed, seeded, shingles, sum
 
 _PIECES = 3
 _SEEDS = 8
+_SKETCH_BITS = 256
 # The pairs of a bucket with at most so many members are listed; a longer one is compared in blocks of so many
 # features (16 MB of hashes) or members.
 LISTED_MEMBERS = 24
@@ -134,9 +135,33 @@ def _signature_rows(docs: DataFrame, width: int, threshold: Fraction) -> DataFra
     return docs.mapInArrow(run, f"sig long, id {dict(docs.dtypes)['id']}")
 
 
-def _some_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
-    """(id, features) of the rows whose id may be in ``ids``: sorted 64-bit hashes as bytes."""
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Bits that tell in which cells an odd number of features lies; cells are the low bits of a feature, at least one cell for each.
+
+    A feature that only one of two sets has changes one bit, so sets have at least as many differences as their sketches.
+    """
+    cells = max(_SKETCH_BITS, 1 << (len(features) - 1).bit_length())
+    odd = np.bincount((features & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray, n_x: int, n_y: int, threshold: Fraction) -> bool:
+    """False only where two sets of these sketches and sizes differ too much to reach the threshold."""
+    if min(n_x, n_y) * threshold.denominator < threshold.numerator * max(n_x, n_y):
+        return False
+    # half as many cells: each has the features of two
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return differ * (threshold.denominator + threshold.numerator) <= (threshold.denominator - threshold.numerator) * (n_x + n_y)
+
+
+def _some_sets(docs: DataFrame, width: int, ids: DataFrame, sketches: bool = False) -> DataFrame:
+    """(id, n, features) of the rows whose id may be in ``ids``: sorted 64-bit hashes as bytes, or their sketch."""
     held = id_filter(ids, "id")
+    form = sketch if sketches else (lambda features: features)
 
     def run(batches):
         for batch in batches:
@@ -144,11 +169,12 @@ def _some_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
             picked = batch.filter(pa.array(near))
             for part, words in groups(iter([picked])):
                 h, bounds = distinct(*shingles(words, width))
-                yield table(id=part.column("id"), features=pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()))
+                features = pa.array([form(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+                yield table(id=part.column("id"), n=np.diff(bounds), features=features)
 
     kind = dict(docs.dtypes)["id"]
     # dealt by id, so that rows are made distinct and joined on either side without another exchange
-    return docs.where("id is not null").withColumn("bit", filter_bit("id")).mapInArrow(run, f"id {kind}, features binary").repartition("id").distinct()
+    return docs.where("id is not null").withColumn("bit", filter_bit("id")).mapInArrow(run, f"id {kind}, n long, features binary").repartition("id").distinct()
 
 
 def _alike(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
@@ -176,19 +202,36 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.join(chosen.hint("shuffle_hash"), "sig").select("sig", "id", "first").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) that are similar."""
+def _compared(pairs: DataFrame, sets: DataFrame, alike) -> DataFrame:
+    """Those of the pairs (a, b) that have rows (id, n, features) which ``alike`` finds so."""
     def run(batches):
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            good = [_alike(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), threshold) for i in range(batch.num_rows)]
+            x, y, n_x, n_y = (batch.column(c) for c in ("x", "y", "n_x", "n_y"))
+            n_x, n_y = n_x.to_pylist(), n_y.to_pylist()
+            good = [alike(x[i].as_buffer(), y[i].as_buffer(), n_x[i], n_y[i]) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("features").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("features").alias("y")), "b"
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_x"), F.col("features").alias("x")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("n").alias("n_y"), F.col("features").alias("y")), "b"
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "n_x", "n_y", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) that are similar.
+
+    Most pairs share a signature by chance. Sketches, some fortieth of a set's bytes, tell most of them apart, so that whole sets
+    travel for few pairs.
+    """
+    def near(x, y, n_x, n_y):
+        return may_be_alike(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), n_x, n_y, threshold)
+
+    def alike(x, y, n_x, n_y):
+        return _alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold)
+
+    left = materialise(_compared(pairs, sketches, near).distinct())
+    return _compared(left, _some_sets(docs, width, left.select(F.explode(F.array("a", "b")).alias("id"))), alike)
 
 
 def _compare_blocks(threshold: Fraction):
@@ -227,7 +270,7 @@ def _compare_blocks(threshold: Fraction):
     return run
 
 
-def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, threshold: Fraction) -> DataFrame | None:
+def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFrame, sketches: DataFrame, width: int, threshold: Fraction) -> DataFrame | None:
     """Links between different components that share a bucket: every such pair is compared.
 
     Pairs with a bucket's first member have been compared before, and buckets with the same members are looked at
@@ -247,7 +290,7 @@ def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFram
     short = left.where(F.col("members") <= LISTED_MEMBERS).select("sig", "id", "comp")
     other = short.select("sig", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     pairs = materialise(short.withColumnRenamed("id", "a").join(other, "sig").where("a < b and comp <> comp_b").select("a", "b").distinct())
-    links = _verified(pairs, _some_sets(docs, width, pairs.select(F.explode(F.array("a", "b")).alias("id"))), threshold)
+    links = _verified(pairs, sketches, docs, width, threshold)
     long = left.where(F.col("members") > LISTED_MEMBERS)
     if not long.isEmpty():
         sized = long.join(sizes.groupBy("id").agg(F.max("n").alias("size")), "id")
@@ -257,7 +300,7 @@ def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFram
             "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         ).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         cut = cut.select("sig", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        found = cut.join(_some_sets(docs, width, long), "id").groupBy("sig", "i", "j").applyInPandas(_compare_blocks(threshold), f"a {kind}, b {kind}")
+        found = cut.join(_some_sets(docs, width, long).drop("n"), "id").groupBy("sig", "i", "j").applyInPandas(_compare_blocks(threshold), f"a {kind}, b {kind}")
         links = links.unionAll(found)
     return materialise(links.distinct())
 
@@ -296,10 +339,10 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int
     stars = materialise(stars)
     links = same
     if not stars.isEmpty():
-        ends = stars.select(F.explode(F.array("a", "b")).alias("id"))
-        links = materialise(same.unionAll(_verified(stars, _some_sets(docs, width, ends), threshold)))
+        sketches = materialise(_some_sets(docs, width, stars.select(F.explode(F.array("a", "b")).alias("id")), sketches=True))
+        links = materialise(same.unionAll(_verified(stars, sketches, docs, width, threshold)))
         alone = buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-        more = _rest(buckets, components(links.unionAll(alone)), docs, sets, width, threshold)
+        more = _rest(buckets, components(links.unionAll(alone)), docs, sets, sketches, width, threshold)
         if more is not None:
             links = links.unionAll(more)
     found = components(links)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from columnscope.llm import jaccard
@@ -107,3 +108,28 @@ def test_copies_stand_for_their_representative(spark, monkeypatch, most):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1, " ".join(base)), (3, "only once"), (None, " ".join(base))]
     found = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=3, threshold=Fraction(9, 10))
     assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, None: None}
+
+
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(1)
+    apart = 0
+    for _ in range(3000):
+        n, changes = int(rng.integers(1, 600)), int(rng.integers(0, 200))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[:max(0, n - changes)], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + changes)), dtype=np.uint64)]))
+        near = jaccard.may_be_alike(jaccard.sketch(x), jaccard.sketch(y), len(x), len(y), Fraction(4, 5))
+        assert near or not jaccard._alike(x, y, Fraction(4, 5))
+        apart += not near
+    assert apart > 1000
+
+
+def test_whole_sets_travel_only_where_sketches_are_near(spark, monkeypatch):
+    base = [f"w{i}" for i in range(300)]
+    texts = [base, base[:299] + ["x"], base[:150] + [f"v{i}" for i in range(150)], base[:100] + [f"u{i}" for i in range(200)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for b in range(4) for a in range(b)], "a long, b long")
+    sketches = jaccard._some_sets(docs, 5, docs.select("id"), sketches=True)
+    asked, some_sets = [], jaccard._some_sets
+    monkeypatch.setattr(jaccard, "_some_sets", lambda docs, width, ids: asked.extend(sorted({r.id for r in ids.collect()})) or some_sets(docs, width, ids))
+    assert [tuple(r) for r in jaccard._verified(pairs, sketches, docs, 5, Fraction(4, 5)).collect()] == [(0, 1)]
+    assert asked == [0, 1]
