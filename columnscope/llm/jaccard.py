@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from columnscope.llm.components import components
-from columnscope.llm.storage import filter_bit, id_filter, materialise, only, passes
+from columnscope.llm.storage import filter_bit, id_filter, lean, materialise, only, passes, small_batches
 from columnscope.llm.words import distinct, groups, mixed, seeded, shingles, sums_by, table
 
 _PIECES = 3
@@ -101,7 +101,7 @@ def signatures(features: np.ndarray, threshold: Fraction, firsts: np.ndarray) ->
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, d1, d2): size and 128-bit digest of each row's set."""
     def run(batches):
-        for batch, words in groups(batches):
+        for batch, words in groups(lean(batches)):
             h, bounds = distinct(*shingles(words, width))
             yield table(id=batch.column("id"), n=np.diff(bounds), d1=sums_by(mixed(h), bounds), d2=sums_by(mixed(h ^ np.uint64(0x5BD1E995)), bounds))
 
@@ -113,7 +113,7 @@ def _signature_rows(docs: DataFrame, width: int, threshold: Fraction) -> DataFra
     def run(batches):
         seen: set = set()
         firsts = bands(threshold, 1)
-        for batch, words in groups(batches):
+        for batch, words in groups(lean(batches)):
             h, bounds = distinct(*shingles(words, width))
             sizes = np.diff(bounds)
             if len(sizes) and sizes.max() >= firsts[-1]:
@@ -164,13 +164,11 @@ def _some_sets(docs: DataFrame, width: int, ids: DataFrame, sketches: bool = Fal
     form = sketch if sketches else (lambda features: features)
 
     def run(batches):
-        for batch in batches:
-            near = passes(held, batch.column("bit").to_numpy(zero_copy_only=False))
-            picked = batch.filter(pa.array(near))
-            for part, words in groups(iter([picked])):
-                h, bounds = distinct(*shingles(words, width))
-                features = pa.array([form(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-                yield table(id=part.column("id"), n=np.diff(bounds), features=features)
+        picked = (batch.filter(pa.array(passes(held, batch.column("bit").to_numpy(zero_copy_only=False)))) for batch in lean(batches))
+        for part, words in groups(picked):
+            h, bounds = distinct(*shingles(words, width))
+            features = pa.array([form(h[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+            yield table(id=part.column("id"), n=np.diff(bounds), features=features)
 
     kind = dict(docs.dtypes)["id"]
     # dealt by id, so that rows are made distinct and joined on either side without another exchange
@@ -205,7 +203,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, sets: DataFrame, alike) -> DataFrame:
     """Those of the pairs (a, b) that have rows (id, n, features) which ``alike`` finds so."""
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             x, y, n_x, n_y = (batch.column(c) for c in ("x", "y", "n_x", "n_y"))
             n_x, n_y = n_x.to_pylist(), n_y.to_pylist()
             good = [alike(x[i].as_buffer(), y[i].as_buffer(), n_x[i], n_y[i]) for i in range(batch.num_rows)]
@@ -305,20 +303,8 @@ def _rest(buckets: DataFrame, comps: DataFrame, docs: DataFrame, sizes: DataFram
     return materialise(links.distinct())
 
 
-def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(id, n_shingles, component_id) for every row: who is linked, directly or through others, at ``threshold``.
-
-    Words are lower-cased (A-Z) and cut at white space; a text's set has its distinct runs of ``width`` words, or its
-    whole sequence if it has fewer. A text that is null, empty or without words has an empty set and no links. Rows
-    with a null id are returned with a null component and link nothing. Rows that share an id count as one document:
-    it is linked if any of its texts is. An empty table gives an empty result; other columns are not looked at.
-
-    Equal sets are linked to their smallest id. In every bucket of a shared signature all members are first compared
-    with the smallest; what then still belongs to different components is compared pair by pair, in blocks.
-    """
-    if not Fraction(1, 2) < threshold <= 1:
-        raise ValueError("threshold must be over 1/2 and at most 1")
-    docs = only(df, id=id, text=text)
+def _sets_and_links(docs: DataFrame, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(id, n, d1, d2) of every row, and links (a, b) whose components are those of all similar rows."""
     sets = materialise(_sets(docs, width))
     reps = sets.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     same = materialise(sets.where("n > 0").join(reps, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b").distinct())
@@ -345,6 +331,26 @@ def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int
         more = _rest(buckets, components(links.unionAll(alone)), docs, sets, sketches, width, threshold)
         if more is not None:
             links = links.unionAll(more)
+    return sets, links
+
+
+def similar(df: DataFrame, id: str = "doc_id", text: str = "text", *, width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(id, n_shingles, component_id) for every row: who is linked, directly or through others, at ``threshold``.
+
+    Words are lower-cased (A-Z) and cut at white space; a text's set has its distinct runs of ``width`` words, or its
+    whole sequence if it has fewer. A text that is null, empty or without words has an empty set and no links. Rows
+    with a null id are returned with a null component and link nothing. Rows that share an id count as one document:
+    it is linked if any of its texts is. An empty table gives an empty result; other columns are not looked at.
+
+    Equal sets are linked to their smallest id. In every bucket of a shared signature all members are first compared
+    with the smallest; what then still belongs to different components is compared pair by pair, in blocks.
+    """
+    if not Fraction(1, 2) < threshold <= 1:
+        raise ValueError("threshold must be over 1/2 and at most 1")
+    docs = only(df, id=id, text=text)
+    # every job with Python in it ends in here
+    with small_batches(df.sparkSession):
+        sets, links = _sets_and_links(docs, width, threshold)
     found = components(links)
     return sets.join(found, "id", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")

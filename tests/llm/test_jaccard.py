@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from columnscope.llm import jaccard
+from columnscope.llm import jaccard, storage
 
 
 def brute(rows, width, threshold):
@@ -133,3 +133,41 @@ def test_whole_sets_travel_only_where_sketches_are_near(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_some_sets", lambda docs, width, ids: asked.extend(sorted({r.id for r in ids.collect()})) or some_sets(docs, width, ids))
     assert [tuple(r) for r in jaccard._verified(pairs, sketches, docs, 5, Fraction(4, 5)).collect()] == [(0, 1)]
     assert asked == [0, 1]
+
+
+def test_workers_of_the_join_drop_what_other_operators_keep():
+    first = storage.per_worker("kind", "key", list)
+    assert storage.per_worker("kind", "key", list) is first
+    assert list(storage.lean(iter([1, 2]))) == [1, 2]
+    assert storage.per_worker("kind", "key", list) is not first
+
+
+def test_texts_come_to_the_join_in_batches_of_bounded_size(spark, monkeypatch):
+    """A batch of 10,000 rows, Spark's bound, would have all 20 MB of these texts."""
+    groups = jaccard.groups
+
+    def bounded(batches):
+        def held():
+            for batch in batches:
+                # one row more, and the arrays beside the texts
+                assert batch.nbytes < storage.BATCH_BYTES + 100_000
+                yield batch
+
+        return groups(held())
+
+    monkeypatch.setattr(jaccard, "groups", bounded)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1100))) for i in range(2000)] + [(5000, " ".join(f"w7x{j}" for j in range(1099)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.component_id for r in jaccard.similar(docs).collect()}
+    assert found == {i: i for i, _ in rows[:-1]} | {5000: 7}
+    assert spark.conf.get(storage._BATCH_CONF, None) is None
+
+
+def test_a_bound_that_the_session_sets_stays(spark):
+    spark.conf.set(storage._BATCH_CONF, "1000000")
+    try:
+        with storage.small_batches(spark):
+            assert spark.conf.get(storage._BATCH_CONF) == "1000000"
+        assert spark.conf.get(storage._BATCH_CONF) == "1000000"
+    finally:
+        spark.conf.unset(storage._BATCH_CONF)
