@@ -25,6 +25,8 @@ WORKBOOKS = ("xlsx",)
 MAX_BYTES = 200 * 1024 * 1024
 DELIMITERS = (",", "\t", ";", "|")
 SNIFF_CHARS = 8192
+# A quoted field begins after any separator or at the start of a line; one that the start of a file cuts off has no end.
+_QUOTED = r'(?:\A|(?<=[,\t;|\n]))"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
 _CORRUPT = "_corrupt_record"
 _WIDE = "__too_wide"
 
@@ -59,14 +61,34 @@ def check_files(
     )
 
 
+def _separator(start: Column) -> Column:
+    """The separator of the text a file starts with, by what stands outside quoted fields: one found equally often in every line, else
+    the most frequent, the one listed first among equals. Only where none stands outside do quoted fields count.
+    """
+    outside = F.regexp_replace(start, _QUOTED, '""')
+    lines = F.filter(F.split(outside, "\n"), lambda line: F.trim(line) != "")
+    whole = F.when((F.length(start) >= SNIFF_CHARS) & (F.size(lines) > 1), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
+
+    def count(text: Column, d: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(d)))
+
+    bare = F.length(F.translate(outside, "".join(DELIMITERS), "")) == F.length(outside)
+    found = []
+    for i, d in enumerate(DELIMITERS):
+        per = F.transform(whole, lambda line, d=d: count(line, d))
+        even = F.coalesce((F.array_min(per) == F.array_max(per)) & (F.array_min(per) > 0), F.lit(False))
+        n = F.when(bare, count(start, d)).otherwise(count(outside, d))
+        found.append(F.struct(even.alias("even"), n.alias("n"), F.lit(-i).alias("turn"), F.lit(d).alias("delimiter")))
+    return F.array_max(F.array(*found))["delimiter"]
+
+
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Most frequent separator at the start of a file; ``.tsv`` is always tab-separated."""
+    """The separator by the start of a file (see ``_separator``); ``.tsv`` is always tab-separated."""
     if path.lower().endswith(".tsv"):
         return "\t"
     lines = spark.read.text(path).select(F.substring("value", 1, SNIFF_CHARS)).head(2048)
     start = "\n".join(row[0] for row in lines)[:SNIFF_CHARS]
-    counts = [start.count(d) for d in DELIMITERS]
-    return DELIMITERS[counts.index(max(counts))] if any(counts) else ","
+    return spark.range(1).select(_separator(F.lit(start))).first()[0]
 
 
 def _heads(lines: DataFrame) -> DataFrame:
@@ -77,12 +99,7 @@ def _heads(lines: DataFrame) -> DataFrame:
         .withColumn("nth", F.row_number().over(first)).where("nth <= 2048")
         .groupBy("file").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "value"))), lambda r: r["value"]), "\n"), 1, SNIFF_CHARS).alias("start"))
     )
-    # the most frequent separator, the one listed first among equals
-    counts = F.array(*[
-        F.struct((F.length("start") - F.length(F.replace("start", F.lit(d)))).alias("n"), F.lit(-i).alias("turn"), F.lit(d).alias("delimiter"))
-        for i, d in enumerate(DELIMITERS)
-    ])
-    return heads.select("file", F.when(F.lower("file").endswith(".tsv"), F.lit("\t")).otherwise(F.array_max(counts)["delimiter"]).alias("delimiter"))
+    return heads.select("file", F.when(F.lower("file").endswith(".tsv"), F.lit("\t")).otherwise(_separator(F.col("start"))).alias("delimiter"))
 
 
 def layouts(spark: SparkSession, paths: list[str]) -> DataFrame:

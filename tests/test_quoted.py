@@ -78,3 +78,12 @@ def test_query_writes_a_large_table_to_several_files(spark, tmp_path, monkeypatc
     got = {r["doc_id"]: r["n"] for r in tables._with_breaks(spark, str(tmp_path)).collect()}
     assert got == {i: len(t) for i, _, t, _ in rows}
     assert len(spark.read.format("binaryFile").load(f"{places[0]}/in/*.csv").inputFiles()) > 2
+
+
+def test_query_reads_files_that_begin_with_other_separators(spark, tmp_path, monkeypatch):
+    from columnscope.plans import tables
+
+    monkeypatch.setattr(tables, "BREAKS_BYTES", 4000)
+    rows = [(i, "en", f"{i * 7919} | a | b\n| c | d ; e" * 20, 10) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string, n_chars int").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["n"] for r in tables._with_breaks(spark, str(tmp_path)).collect()} == {i: len(t) for i, _, t, _ in rows}

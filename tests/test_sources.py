@@ -11,7 +11,7 @@ from columnscope.errors import UnsupportedFileError, ValidationError
 from columnscope.operators.query import preview, run_query
 from columnscope.operators.report import recommendation_list, report
 from columnscope.operators.profile import profile
-from columnscope.sources.files import check_files, detect_delimiter, ingest, read_table
+from columnscope.sources.files import check_files, detect_delimiter, ingest, layouts, read_table
 from columnscope.sources.results import append_result, cached_profile, json_records, session_results, write_report
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -54,6 +54,17 @@ def test_row_numbers_follow_the_file(spark, tmp_path):
     assert "GreaterThanOrEqual(_row_id,15000)" in page._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("text, delimiter", [
+    ('a,b\n1,"x | y | z\n| | |"\n', ","), ('a,b\n1,"say ""|"" | | |, ;;;;;;"\n2,c', ","), ('"a;b;c",d\n"1;2;3",4', ","), ("a,b\n1,x | y | z\n2,z", ","),
+    ('a,b\n1,"' + "x | y\n" * 2000 + '"\n', ","), ('a,b\n1,5" pipe\n2,6" pipe', ","), ('a|b\n1|"x, y, z"\n2|"x, y"', "|"), ('"a;b"\n"c;d"', ";"), ("", ","),
+])
+def test_delimiters_outside_quoted_fields(spark, tmp_path, text, delimiter):
+    (tmp_path / "f.csv").write_text(text)
+    assert detect_delimiter(spark, str(tmp_path / "f.csv")) == delimiter
+    found = layouts(spark, [str(tmp_path / "f.csv")]).collect()
+    assert [r["delimiter"] for r in found] == ([delimiter] if text else [])
+
+
 @pytest.mark.parametrize("text, delimiter", [("a,b\n1,2", ","), ("a\tb\n1\t2", "\t"), ("a;b;c", ";"), ("a|b", "|"), ("a", ",")])
 def test_delimiters(spark, tmp_path, text, delimiter):
     (tmp_path / "f.csv").write_text(text)
