@@ -242,6 +242,38 @@ def test_equal_passages_by_brute_force(spark):
     assert all(len({label[i] for i in ids}) == 1 for ids in holders.values() if len(ids) > 1)
 
 
+def test_changed_passages_of_middle_documents(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    docs, pairs = [], []
+
+    def doc(i, inner=()):
+        own = [rng.choice(words) for _ in range(rng.randint(60, 120))]
+        own[30:30] = inner
+        docs.append((i, " ".join(own)))
+
+    for k in range(8):
+        shared = [rng.choice(words) for _ in range(78)]
+        one, two = list(shared), list(shared)
+        # the two agree in stretches of 18 words; parts of these stand in documents of lower and of higher ids, not two in one
+        for at in range(18, 78, 20):
+            two[at:at + 2] = ["changed", f"here{at}"]
+        if k == 7:
+            # and one that is written again and again, with changes
+            one, two = (line * 4 for line in (shared[:24], [*shared[:19], "other", *shared[20:24]]))
+        pairs.append((200 + 2 * k, 201 + 2 * k))
+        doc(200 + 2 * k, one)
+        doc(201 + 2 * k, two)
+        for n, at in enumerate(range(0, 60, 20)):
+            doc(k * 3 + n, shared[at:at + 18])
+            doc(400 + k * 3 + n, shared[at:at + 18])
+    rows = repeats.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.other_doc_id, r.doc_id) for r in rows} | {(r.doc_id, r.other_doc_id) for r in rows} >= set(pairs)
+    label = {r.doc_id: r.class_id for r in rows} | {r.other_doc_id: r.class_id for r in rows}
+    assert set(label) == {i for pair in pairs for i in pair} and all(label[a] == label[b] == a for a, b in pairs)
+    assert all(r.identity >= 0.8 and min(r.end_word - r.first_word, r.other_end_word - r.other_first_word) >= 50 for r in rows)
+
+
 def test_passages_of_given_documents(spark):
     rows = entry.queries()["op10_substring_dedup"](spark, "/root/testdata/sf0.001").collect()
     got = {r.doc_id for r in rows} | {r.other_doc_id for r in rows}
